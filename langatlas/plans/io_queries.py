@@ -79,9 +79,18 @@ def cluster_vectors(spark, sf_dir):
     return CL.vectors_as_arrays(_cluster_inputs(spark, sf_dir))
 
 
+_MODELS: dict[tuple[str, str], tuple] = {}
+
+
 def _fit(spark, sf_dir):
-    vectors = cut_lineage(_cluster_inputs(spark, sf_dir))
-    return vectors, CL.learn_patterns(vectors)
+    """Vectors are checkpointed (the fit iterates over them); the fitted models
+    are kept per session and input folder, so the assign / members / centers
+    queries share one fit."""
+    key = (spark.sparkContext.applicationId, sf_dir)
+    if key not in _MODELS:
+        vectors = cut_lineage(_cluster_inputs(spark, sf_dir))
+        _MODELS[key] = (vectors, CL.learn_patterns(vectors))
+    return _MODELS[key]
 
 
 @query

@@ -44,30 +44,40 @@ def lang_pair_totals(repos: DataFrame) -> DataFrame:
                  F.count(F.lit(1)).alias("repo_count")))
 
 
-def top_partners(cooc: DataFrame, totals: DataFrame, k: int = TOP_PARTNERS,
-                 include_self: bool = True) -> DataFrame:
+def top_partners(cooc: DataFrame, k: int = TOP_PARTNERS, include_self: bool = True) -> DataFrame:
     """E10 + F2 + C22: the ``k`` partners with the highest share
-    ``occ = n / pair_count``; the base itself (share 1) is a candidate and
-    wins ties.  Zero/NaN shares are dropped before ranking.
-
-    ``row_number() <= k`` is planned with a group limit applied before the
-    shuffle as well, so a hot base never ships more than ``k`` rows per task.
+    ``occ = n / pair_count``, where ``pair_count`` (the reference's base
+    occurrence) is the number of ordered pairs the base starts -- the sum of
+    its co-occurrence counts.
+
+    The base itself is a candidate with share 1, which no other partner can
+    exceed, and it wins ties: it is always rank 1.  So one window over the
+    co-occurrence table does everything: ``pair_count`` as a partition sum,
+    the other partners ranked by ``n desc, other`` (the share order inside a
+    base), and the self entry emitted from the rank-1 row.  One pass over the
+    pairs, no join and no union.  Rows per base are bounded by the language
+    vocabulary (the table is already aggregated per pair).
     """
-    t = totals.select(F.col("lang").alias("base"), "pair_count")
-    cand = cooc.select("base", F.col("other").alias("partner"), "n")
+    by_base = Window.partitionBy("base")
+    ordered = by_base.orderBy(F.col("n").desc(), F.col("other").asc())
+    ranked = cooc.where(F.col("n") != 0).select(
+        "base", "other", "n",
+        F.sum("n").over(by_base).alias("pair_count"),
+        F.row_number().over(ordered).alias("rn"))
+    shift = 1 if include_self else 0
+    other = F.struct((F.col("rn") + shift).alias("rank"), F.col("other").alias("partner"),
+                     F.try_divide(F.col("n").cast("double"), F.col("pair_count")).alias("occ"))
+    entries = [F.when(F.col("rn") <= k - shift, other)]
     if include_self:
-        cand = cand.unionByName(t.select("base", F.col("base").alias("partner"),
-                                         F.col("pair_count").alias("n")))
-    scored = (cand.join(t, "base")
-              .withColumn("occ", F.try_divide(F.col("n").cast("double"), F.col("pair_count")))
-              .where(F.col("occ").isNotNull() & (F.col("occ") != 0) & ~F.isnan("occ")))
-    w = Window.partitionBy("base").orderBy(F.col("occ").desc(),
-                                           (F.col("partner") == F.col("base")).desc(),
-                                           F.col("partner").asc())
-    return (scored.withColumn("rank", F.row_number().over(w))
-            .where(F.col("rank") <= k)
-            .select(F.col("base").alias("lang"), F.col("rank").cast("bigint").alias("rank"),
-                    "partner", "occ"))
+        entries.append(F.when(F.col("rn") == 1, F.struct(
+            F.lit(1).alias("rank"), F.col("base").alias("partner"),
+            F.try_divide(F.col("pair_count").cast("double"), F.col("pair_count")).alias("occ"))))
+    keep = F.filter(F.array(*entries), lambda e: e.isNotNull() & e["occ"].isNotNull()
+                    & (e["occ"] != 0) & ~F.isnan(e["occ"]))
+    return (ranked.where(F.col("rn") <= max(k - shift, 1))
+            .select(F.col("base").alias("lang"), F.explode(keep).alias("e"))
+            .select("lang", F.col("e.rank").cast("bigint").alias("rank"),
+                    F.col("e.partner").alias("partner"), F.col("e.occ").alias("occ")))
 
 
 def top_languages(totals: DataFrame, k: int = TOP_LANGUAGES) -> DataFrame:
@@ -81,7 +91,7 @@ def correlation_report(repos: DataFrame, top_langs: int = TOP_LANGUAGES,
     """Top languages with their top partners, long form."""
     totals = lang_pair_totals(repos)
     best = top_languages(totals, top_langs)
-    partners = top_partners(lang_cooccurrence(repos), totals, top_k)
+    partners = top_partners(lang_cooccurrence(repos), k=top_k)
     return best.join(partners, "lang").select(
         "lang", "pair_count", "repo_count", "rank", "partner", "occ")
 

@@ -103,7 +103,7 @@ class Workload:
 
     @cached_property
     def top_partners(self) -> DataFrame:
-        return C.top_partners(self.cooc, self.pair_totals)
+        return C.top_partners(self.cooc)
 
     @cached_property
     def corr_report(self) -> DataFrame:

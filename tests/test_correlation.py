@@ -30,7 +30,7 @@ def test_pair_totals_are_ordered_pairs(spark):
 
 def test_top_partners_self_first_and_ties(spark):
     repos = _repos(spark)
-    top = C.top_partners(C.lang_cooccurrence(repos), C.lang_pair_totals(repos), k=3)
+    top = C.top_partners(C.lang_cooccurrence(repos), k=3)
     a = [(r["rank"], r["partner"], round(r["occ"], 4)) for r in
          top.where(F.col("lang") == "A").orderBy("rank").collect()]
     assert a == [(1, "A", 1.0), (2, "B", round(2 / 3, 4)), (3, "C", round(1 / 3, 4))]

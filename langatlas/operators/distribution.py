@@ -77,22 +77,25 @@ def locate(lang_region: DataFrame, geo: DataFrame) -> DataFrame:
             .select("lang", "location", "lat", "lng", F.col("loc").alias("density")))
 
 
-def nest_coords(lang_region: DataFrame, density: DataFrame) -> DataFrame:
-    """One row per language -- ``lang{_id, value}``, ``coords`` sorted.
-
-    Languages with no positioned location keep an empty ``coords`` list.  The
-    list is bounded by the number of distinct spots.
+def nest_coords(lang_region: DataFrame, geo: DataFrame) -> DataFrame:
+    """E9 / D3 (with D2j + C19): one row per language -- ``lang{_id, value}``
+    (all its locations as JSON) and ``coords`` (sorted ``[lat, lng, loc]`` of
+    the positioned ones).  Languages with no positioned location keep an
+    empty list.  One aggregation over ``lang_region ⟕ geo``; the list is
+    bounded by the number of distinct spots.
     """
-    per_lang = (lang_region.groupBy("lang").agg(
+    g = geo.where(F.col("lat").isNotNull() & F.col("lng").isNotNull()).select(
+        F.col("location").alias("_gloc"), "lat", "lng")
+    j = lang_region.join(g, lang_region.location == g._gloc, "left")
+    triple = F.when(F.col("_gloc").isNotNull(),
+                    F.array("lat", "lng", F.col("loc").cast("double")))
+    per_lang = j.groupBy("lang").agg(
         F.to_json(F.map_from_entries(F.sort_array(F.collect_list(
             F.struct(F.coalesce("location", F.lit("null")).alias("k"),
-                     F.col("loc").alias("v")))))).alias("value")))
-    coords = density.groupBy(F.col("lang").alias("_clang")).agg(
-        F.sort_array(F.collect_list(F.array(
-            "lat", "lng", F.col("density").cast("double")))).alias("coords"))
-    return (per_lang.join(coords, per_lang.lang == coords._clang, "left")
-            .select(F.struct(F.col("lang").alias("_id"), "value").alias("lang"),
-                    F.coalesce("coords", F.array().cast("array<array<double>>")).alias("coords")))
+                     F.col("loc").alias("v")))))).alias("value"),
+        F.sort_array(F.collect_list(triple)).alias("coords"))
+    return per_lang.select(F.struct(F.col("lang").alias("_id"), "value").alias("lang"),
+                           "coords")
 
 
 def listed_languages(lang_region: DataFrame) -> DataFrame:

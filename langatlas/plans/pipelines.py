@@ -13,6 +13,7 @@ from langatlas.operators import distribution as D
 from langatlas.operators import geo as G
 from langatlas.operators import graph as GR
 from langatlas.operators import spatial as S
+from langatlas.session import cut_lineage
 from langatlas.sources.bridge import Bridge
 
 
@@ -71,7 +72,10 @@ class Workload:
 
     @cached_property
     def dist(self) -> DataFrame:
-        return D.nest_coords(self.lang_region, self.density)
+        """The density export (D3).  A written stage in the reference (the
+        Spark job reads it back); materialised once here because every
+        spatial branch (universe, bin index, bin vectors) starts from it."""
+        return cut_lineage(D.nest_coords(self.lang_region, self.geo))
 
     @cached_property
     def coords(self) -> DataFrame:

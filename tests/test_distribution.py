@@ -48,7 +48,7 @@ def test_locate_and_nest(spark):
                                 "location string, city string, country string, lat double, lng double")
     dens = D.locate(lr, geo)
     assert rows_of(dens, "lang", "lat", "lng", "density") == [("Go", 59.9, 10.7, 5)]
-    nested = {r["lang"]["_id"]: r for r in D.nest_coords(lr, dens).collect()}
+    nested = {r["lang"]["_id"]: r for r in D.nest_coords(lr, geo).collect()}
     assert nested["C"]["coords"] == []
     assert nested["Go"]["coords"] == [[59.9, 10.7, 5.0]]
     assert '"Nowhere":3' in nested["Go"]["lang"]["value"]

@@ -72,14 +72,19 @@ class Workload:
 
     @cached_property
     def dist(self) -> DataFrame:
-        """The density export (D3).  A written stage in the reference (the
-        Spark job reads it back); materialised once here because every
-        spatial branch (universe, bin index, bin vectors) starts from it."""
-        return cut_lineage(D.nest_coords(self.lang_region, self.geo))
+        """The nested density export (D3): one row per language."""
+        return D.nest_coords(self.lang_region, self.geo)
 
     @cached_property
     def coords(self) -> DataFrame:
-        return S.explode_coords(self.dist)
+        """Spatial input in long form ``lang, lat, lng, density``.
+
+        The spatial operators never need the per-language lists of the nested
+        export (a hot language would put all its spots in one row), so they
+        start from the long table; ``explode_coords`` is the adapter for
+        reading an export file.  Materialised once per query: the universe,
+        the bin index and the bin vectors all branch from it."""
+        return cut_lineage(self.density.select("lang", "lat", "lng", "density"))
 
     @cached_property
     def universe(self) -> DataFrame:

@@ -4,7 +4,9 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
+from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.clustering import GaussianMixture, GaussianMixtureModel, KMeans, KMeansModel
+from pyspark.ml.feature import PCA
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.linalg import SparseVector, VectorUDT
 from pyspark.sql import DataFrame
@@ -43,17 +45,33 @@ def language_vectors(kept_bins: DataFrame, index: DataFrame, languages: DataFram
 @dataclass
 class ClusterModels:
     kmeans: KMeansModel
-    gmm: GaussianMixtureModel
+    gmm: GaussianMixtureModel | PipelineModel
+
+    @property
+    def gmm_stage(self) -> GaussianMixtureModel:
+        return self.gmm.stages[-1] if isinstance(self.gmm, PipelineModel) else self.gmm
 
 
 def learn_patterns(vectors: DataFrame, k: int = K, max_iter: int = KMEANS_ITERATIONS,
-                   seed: int = SEED, gmm_max_iter: int = 100) -> ClusterModels:
+                   seed: int = SEED, gmm_max_iter: int = 100,
+                   gmm_pca_k: int | None = None) -> ClusterModels:
     """M2 + M3: fit KMeans and a Gaussian mixture on the same vectors.  Only
-    the fitted models reach the driver."""
+    the fitted models reach the driver.
+
+    A Gaussian mixture keeps a d x d covariance per component, so with many
+    spots (large d) pass ``gmm_pca_k`` to fit it on a PCA projection instead.
+    """
     km = KMeans(k=k, maxIter=max_iter, seed=seed, featuresCol="features",
                 predictionCol="kmeans").fit(vectors)
-    gm = GaussianMixture(k=k, maxIter=gmm_max_iter, seed=seed, tol=0.01, featuresCol="features",
-                         predictionCol="gmm", probabilityCol="gmm_probability").fit(vectors)
+    gmm = GaussianMixture(k=k, maxIter=gmm_max_iter, seed=seed, tol=0.01,
+                          featuresCol="features", predictionCol="gmm",
+                          probabilityCol="gmm_probability")
+    if gmm_pca_k:
+        gmm.setFeaturesCol("pca_features")
+        gm = Pipeline(stages=[PCA(k=gmm_pca_k, inputCol="features", outputCol="pca_features"),
+                              gmm]).fit(vectors)
+    else:
+        gm = gmm.fit(vectors)
     return ClusterModels(km, gm)
 
 
@@ -78,7 +96,7 @@ def cluster_centers(models: ClusterModels, vectors: DataFrame) -> DataFrame:
     rows = [("kmeans", i, [float(x) for x in c])
             for i, c in enumerate(models.kmeans.clusterCenters())]
     rows += [("gmm", i, [float(x) for x in g.mean.toArray()])
-             for i, g in enumerate(models.gmm.gaussians)]
+             for i, g in enumerate(models.gmm_stage.gaussians)]
     return spark.createDataFrame(rows, "model string, cluster int, center array<double>")
 
 

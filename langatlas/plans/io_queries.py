@@ -8,12 +8,18 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from pyspark.ml.functions import array_to_vector
+
 from langatlas.operators import clusters as CL
+from langatlas.operators import correlation as C
+from langatlas.operators import geo as G
+from langatlas.operators.geo import GEO_COLUMNS
 from langatlas.plans.registry import _w, query
 from langatlas.session import cut_lineage, scratch_path
 from langatlas.sinks.writers import cached_stage, overwrite_stage, write_dist_json
 from langatlas.sources.bridge import Bridge
 from langatlas.sources.dist_json import read_dist_json
+from langatlas.streaming.geo_fill import current_geo, run_geo_fill, seed_geo_log
 from langatlas.streaming.ingest import ingested, run_ingest
 
 
@@ -109,3 +115,38 @@ def cluster_members(spark, sf_dir):
 def cluster_centers(spark, sf_dir):
     vectors, models = _fit(spark, sf_dir)
     return CL.cluster_centers(models, vectors)
+
+
+@query
+def geo_fill_stream(spark, sf_dir):
+    """Replies for the pending locations arrive in two deliveries and are
+    folded into the geo log by two ``availableNow`` runs; the result is the
+    current geo table (same rows as ``geo_upsert``)."""
+    w = _w(spark, sf_dir)
+    known = w.known_geo.select(*GEO_COLUMNS)
+    log, replies, ckpt = (scratch_path(spark, n) for n in ("geo-log", "replies", "geo-ckpt"))
+    seed_geo_log(known, log)
+    pending = G.pending_locations(w.regions, known)
+    todo = w.geocode_replies.join(pending, "location", "left_semi")
+    first = todo.where(F.col("location") < "M")
+    first.write.parquet(f"{replies}/delivery=1")
+    run_geo_fill(spark, f"{replies}/*", log, ckpt)
+    todo.where(F.col("location") >= "M").write.parquet(f"{replies}/delivery=2")
+    first.write.parquet(f"{replies}/delivery=3")          # a re-delivery: skipped
+    run_geo_fill(spark, f"{replies}/*", log, ckpt)
+    return current_geo(spark, log)
+
+
+@query
+def corr_json(spark, sf_dir):
+    """The correlation export, ``top`` as a JSON string per language."""
+    return C.correlation_json(_w(spark, sf_dir).corr_report)
+
+
+@query
+def embedding_clusters(spark, sf_dir):
+    """M2-M4 on the embeddings table: both models' cluster per vector."""
+    emb = Bridge(spark, sf_dir).table("embeddings", "vec_id", "embedding")
+    vectors = cut_lineage(emb.select(F.col("vec_id").cast("string").alias("lang"),
+                                     array_to_vector("embedding").alias("features")))
+    return CL.assign_clusters(CL.learn_patterns(vectors), vectors)

@@ -231,6 +231,16 @@ ORACLE: dict[str, str] = {
                CASE WHEN r.status = 'OK' THEN r.lat END,
                CASE WHEN r.status = 'OK' THEN r.lng END
         FROM pending p LEFT JOIN replies r ON r.location = p.location""",
+    "geo_fill_stream": """
+        SELECT location, city, country, lat, lng FROM known_geo
+        WHERE location NOT IN (SELECT location FROM pending)
+        UNION ALL
+        SELECT p.location,
+               CASE WHEN r.status = 'OK' THEN r.city END,
+               CASE WHEN r.status = 'OK' THEN r.country END,
+               CASE WHEN r.status = 'OK' THEN r.lat END,
+               CASE WHEN r.status = 'OK' THEN r.lng END
+        FROM pending p LEFT JOIN replies r ON r.location = p.location""",
     "list_languages": "SELECT DISTINCT lang FROM e1",
     "spatial_universe": "SELECT lat, lng, total FROM universe",
     "lenient_cast": """

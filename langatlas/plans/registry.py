@@ -21,6 +21,8 @@ from langatlas.operators import spatial as S
 from langatlas.plans.pipelines import Workload
 from langatlas.sources import repos as R
 from langatlas.sources.bridge import Bridge
+from langatlas.session import scratch_path
+from langatlas.sinks.writers import write_geo_version
 from langatlas.sources.geocode import parse_geocode
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -134,7 +136,7 @@ def geo_upsert(spark, sf_dir):
     known = w.known_geo.select(*G.GEO_COLUMNS)
     pending = G.pending_locations(w.regions, known)
     resolved = G.resolve_lookups(pending, parse_geocode(w.geocode_replies))
-    return G.upsert_geo(known, resolved)
+    return write_geo_version(known, resolved, scratch_path(spark, "geo-v2"))
 
 
 # --------------------------------------------------------------------- spatial

@@ -23,3 +23,14 @@ def test_vectors_fit_assign(spark):
         assert sorted(names) == sorted(arr)           # every language exactly once
     centers = CL.cluster_centers(models, vec).collect()
     assert len([c for c in centers if c["model"] == "kmeans"]) == 3
+
+
+def test_gmm_on_pca_projection(spark):
+    rows = [(f"L{j}", b, (j * 5 + b * 3) % 7 + 1) for j in range(24) for b in range(0, 10, 1 + j % 2)]
+    kept = spark.createDataFrame(rows, "lang string, bin bigint, value bigint")
+    index = spark.range(0, 10).select(F.col("id").alias("bin"))
+    vec = CL.language_vectors(kept, index, kept.select("lang"))
+    models = CL.learn_patterns(vec, k=2, gmm_max_iter=10, gmm_pca_k=3)
+    got = CL.assign_clusters(models, vec).collect()
+    assert len(got) == 24 and all(r["gmm"] in (0, 1) for r in got)
+    assert len(CL.cluster_centers(models, vec).where(F.col("model") == "gmm").collect()) == 2

@@ -16,6 +16,16 @@ def loc_label(total: Column) -> Column:
             .otherwise(F.concat(total.cast("string"), F.lit(" LoC")))
 
 
+def stable_round6(c: Column | str) -> Column:
+    """Half-up rounding to 6 decimals that is stable across engines: a sum
+    computed in another order differs in its last bits, and a value that is
+    exactly at a half (common with ratios of integers) would then round both
+    ways.  The 1e-7 nudge is far above that noise and far below 1e-6.  For
+    values in [0, 1e12)."""
+    c = F.col(c) if isinstance(c, str) else c
+    return F.floor(c * 1000000.0 + 0.5 + 1e-7) / 1000000.0
+
+
 def lenient_int(c: Column) -> Column:
     """C11: text -> integer, anything unreadable -> 0."""
     return F.coalesce(c.try_cast("bigint"), F.lit(0).cast("bigint"))
@@ -34,9 +44,9 @@ def location_scalars(owners: DataFrame) -> DataFrame:
         is_place_name(loc).alias("is_place"),
         F.isnan("c_acctbal").alias("bal_nan"),
         F.floor("c_acctbal").cast("bigint").alias("bal_floor"),
-        F.round(F.sqrt(F.abs(F.col("followers")).cast("double")), 6).alias("followers_sqrt"),
+        stable_round6(F.sqrt(F.abs(F.col("followers")).cast("double"))).alias("followers_sqrt"),
         F.pow(F.col("followers"), 2).alias("followers_sq"),
-        F.round(F.try_divide(F.col("repos").cast("double"), F.col("followers")), 6)
-         .alias("repo_ratio"),
+        stable_round6(F.try_divide(F.col("repos").cast("double"), F.col("followers")))
+        .alias("repo_ratio"),
         F.format_string("%s: %d repos", F.col("login"), F.col("repos")).alias("label"),
         loc_label(F.col("followers") * 1000).alias("size_label"))

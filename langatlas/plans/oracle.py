@@ -173,6 +173,11 @@ def _q(body: str) -> str:
     return "WITH " + BRIDGE.strip() + "\n" + body.strip()
 
 
+def r6(x: str) -> str:
+    """Same engine-stable half-up rounding as ``functions.scalars.stable_round6``."""
+    return f"floor(({x}) * 1000000.0 + 0.5 + 1e-7) / 1000000.0"
+
+
 ORACLE: dict[str, str] = {
     "lang_region_loc": "SELECT lang, location, loc FROM e1",
     "region_counts": "SELECT location, count(*) AS n FROM repo GROUP BY location",
@@ -267,10 +272,10 @@ ORACLE: dict[str, str] = {
                (SELECT CAST(sum(total) AS BIGINT) FROM universe) AS total_density""",
     "lang_cooccurrence": "SELECT base, other, n FROM pairs",
     "lang_pair_totals": "SELECT lang, pair_count, repo_count FROM totals",
-    "corr_top_partners": "SELECT lang, rank, partner, round(occ, 6) AS occ FROM partners",
+    "corr_top_partners": f"SELECT lang, rank, partner, {r6('occ')} AS occ FROM partners",
     "corr_top_languages": "SELECT lang, pair_count, repo_count FROM top_langs",
-    "corr_report": """
-        SELECT lang, pair_count, repo_count, rank, partner, round(occ, 6) AS occ FROM report""",
+    "corr_report": f"""
+        SELECT lang, pair_count, repo_count, rank, partner, {r6('occ')} AS occ FROM report""",
     "corr_display": """
         SELECT lang, rank, partner, printf('%.2f %%', floor(occ * 10000) / 100) AS pct
         FROM report WHERE occ > 1e-4""",
@@ -278,10 +283,10 @@ ORACLE: dict[str, str] = {
         SELECT p.repo_id, p.src AS primary_lang, p.src_loc AS primary_loc,
                f.lang AS first_lang, f.loc AS first_loc
         FROM prim p JOIN langs f ON f.repo_id = p.repo_id AND f.ordinal = 1""",
-    "graph_edges": "SELECT src, dst, n, loc, round(weight, 6) AS weight FROM edges",
-    "edge_weight_stats": """
-        SELECT src, dst, n, round(sum_w, 6) AS sum_w, round(weight, 6) AS mean_w,
-               round(std_w, 6) AS std_w FROM edges""",
+    "graph_edges": f"SELECT src, dst, n, loc, {r6('weight')} AS weight FROM edges",
+    "edge_weight_stats": f"""
+        SELECT src, dst, n, {r6('sum_w')} AS sum_w, {r6('weight')} AS mean_w,
+               {r6('std_w')} AS std_w FROM edges""",
     "graph_nodes": "SELECT lang, loc, loc_repo, n_repos FROM nodes",
     "graph_node_ids": """
         SELECT lang, bool_or(is_primary) AS is_primary FROM (
@@ -311,7 +316,7 @@ ORACLE: dict[str, str] = {
         FROM orders o
         LEFT JOIN (SELECT * FROM owner WHERE c_acctbal >= 0) u ON u.owner_id = o.o_custkey
         LEFT JOIN repo_stats s ON s.repo_id = o.o_orderkey""",
-    "scalar_functions": """
+    "scalar_functions": f"""
         SELECT owner_id, lower(location) AS loc_lower, CAST(length(location) AS BIGINT) AS loc_len,
                contains(location, '@') AS has_at,
                trim('  ' || location || ' ') AS trimmed,
@@ -319,10 +324,10 @@ ORACLE: dict[str, str] = {
                                        'the internet', 'the interweb', 'worldwide') AS is_place,
                isnan(c_acctbal) AS bal_nan,
                CAST(floor(c_acctbal) AS BIGINT) AS bal_floor,
-               round(sqrt(CAST(abs(followers) AS DOUBLE)), 6) AS followers_sqrt,
+               {r6('sqrt(CAST(abs(followers) AS DOUBLE))')} AS followers_sqrt,
                pow(followers, 2) AS followers_sq,
-               round(CASE WHEN followers = 0 THEN NULL
-                          ELSE CAST(repos AS DOUBLE) / followers END, 6) AS repo_ratio,
+               {r6('CASE WHEN followers = 0 THEN NULL ELSE CAST(repos AS DOUBLE) / followers END')}
+                 AS repo_ratio,
                printf('%s: %d repos', login, repos) AS label,
                CASE WHEN followers * 1000 > 10000
                     THEN CAST(CAST(floor(followers * 1000 / 1000) AS BIGINT) AS VARCHAR) || 'K LoC'

@@ -38,8 +38,8 @@ def _w(spark: SparkSession, sf_dir: str) -> Workload:
     return Workload(Bridge(spark, sf_dir))
 
 
-def r6(c: str) -> F.Column:
-    return F.round(F.col(c), 6).alias(c)
+def r6(c: str, name: str | None = None) -> F.Column:
+    return SC.stable_round6(c).alias(name or c)
 
 
 # ---------------------------------------------------------------- distribution
@@ -179,7 +179,8 @@ def bin_vectors(spark, sf_dir):
 
 @query
 def energy_bins(spark, sf_dir):
-    return _w(spark, sf_dir).energy.select("lang", "bin", "b", r6("norm"), "value")
+    return _w(spark, sf_dir).energy.select("lang", "bin", "b", F.round("norm", 6).alias("norm"),
+                                           "value")
 
 
 @query
@@ -239,8 +240,7 @@ def graph_edges(spark, sf_dir):
 @query
 def edge_weight_stats(spark, sf_dir):
     e = _w(spark, sf_dir).edges
-    return e.select("src", "dst", "n", r6("sum_w"), F.round("weight", 6).alias("mean_w"),
-                    r6("std_w"))
+    return e.select("src", "dst", "n", r6("sum_w"), r6("weight", "mean_w"), r6("std_w"))
 
 
 @query

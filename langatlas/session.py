@@ -33,7 +33,8 @@ def build_session(master: str = "local[8]", app: str = "langatlas",
                .config("spark.ui.enabled", "false")
                .config("spark.sql.shuffle.partitions", str(shuffle_partitions))
                .config("spark.driver.memory", "8g")
-               .config("spark.sql.execution.arrow.pyspark.enabled", "true"))
+               .config("spark.sql.execution.arrow.pyspark.enabled", "true")
+               .config("spark.cleaner.referenceTracking.cleanCheckpoints", "true"))
     for k, v in {**SQL_DEFAULTS, **(extra or {})}.items():
         builder = builder.config(k, v)
     spark = builder.getOrCreate()

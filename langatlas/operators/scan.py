@@ -41,13 +41,15 @@ def prefix_scan(df: DataFrame, group_cols: Sequence[str], order_cols: Sequence[C
     ``value_col`` is given, ``before_col`` (sum of ``value_col`` over the earlier
     rows of the group; 0 for the first row) and optionally ``total_col`` (sum
     over the whole group)."""
-    spark = df.sparkSession
-    n = num_partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
     group_cols = list(group_cols)
     keys = [_sort_key(c) for c in group_cols] + [_sort_key(c) for c in order_cols]
+    # Without an explicit count AQE may merge adjacent range partitions, which
+    # keeps the global order; ids are taken after that.
+    ranged = (df.repartitionByRange(num_partitions, *keys) if num_partitions
+              else df.repartitionByRange(*keys))
 
     staged = cut_lineage(
-        df.repartitionByRange(n, *keys)
+        ranged
           .sortWithinPartitions(*keys)
           .withColumn("_pid", F.spark_partition_id())
           .withColumn("_mono", F.monotonically_increasing_id()))

@@ -94,7 +94,9 @@ def _fit(spark, sf_dir):
     queries share one fit."""
     key = (spark.sparkContext.applicationId, sf_dir)
     if key not in _MODELS:
-        vectors = cut_lineage(_cluster_inputs(spark, sf_dir))
+        # one row per language, iterated over by both fits: few partitions
+        vectors = cut_lineage(_cluster_inputs(spark, sf_dir)
+                              .coalesce(spark.sparkContext.defaultParallelism))
         _MODELS[key] = (vectors, CL.learn_patterns(vectors))
     return _MODELS[key]
 
@@ -148,5 +150,6 @@ def embedding_clusters(spark, sf_dir):
     """M2-M4 on the embeddings table: both models' cluster per vector."""
     emb = Bridge(spark, sf_dir).table("embeddings", "vec_id", "embedding")
     vectors = cut_lineage(emb.select(F.col("vec_id").cast("string").alias("lang"),
-                                     array_to_vector("embedding").alias("features")))
+                                     array_to_vector("embedding").alias("features"))
+                          .coalesce(spark.sparkContext.defaultParallelism))
     return CL.assign_clusters(CL.learn_patterns(vectors), vectors)

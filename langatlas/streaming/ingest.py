@@ -18,22 +18,43 @@ ROCKSDB_PROVIDER = ("org.apache.spark.sql.execution.streaming.state."
                     "RocksDBStateStoreProvider")
 
 
+def start_with_state_settings(writer, spark: SparkSession, state_partitions: int | None):
+    """Start a streaming query whose stateful operators get ``state_partitions``
+    partitions (default: the cluster's parallelism) and the RocksDB state
+    store unless one is configured.  Both are fixed in the checkpoint at the
+    first start; the session's own settings are restored at once (a started
+    query keeps its own copy of the configuration)."""
+    wanted = {"spark.sql.shuffle.partitions":
+              str(state_partitions or spark.sparkContext.defaultParallelism)}
+    if not spark.conf.get("spark.sql.streaming.stateStore.providerClass", None):
+        wanted["spark.sql.streaming.stateStore.providerClass"] = ROCKSDB_PROVIDER
+    before = {k: spark.conf.get(k, None) for k in wanted}
+    for k, v in wanted.items():
+        spark.conf.set(k, v)
+    try:
+        return writer.start()
+    finally:
+        for k, v in before.items():
+            if v is None:
+                spark.conf.unset(k)
+            else:
+                spark.conf.set(k, v)
+
+
 def run_ingest(spark: SparkSession, schema: StructType, landing: str, target: str,
-               checkpoint: str, key: str = "id", files_per_batch: int = 1) -> None:
+               checkpoint: str, key: str = "id", files_per_batch: int = 1,
+               state_partitions: int | None = None) -> None:
     """Process every file landed so far (``availableNow``) and stop."""
-    if not spark.conf.get("spark.sql.streaming.stateStore.providerClass", None):
-        spark.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB_PROVIDER)
     stream = (spark.readStream.schema(schema)
               .option("maxFilesPerTrigger", files_per_batch)
               .parquet(landing)
               .dropDuplicates([key]))
-    query = (stream.writeStream.format("parquet")
-             .option("path", target)
-             .option("checkpointLocation", checkpoint)
-             .outputMode("append")
-             .trigger(availableNow=True)
-             .start())
-    query.awaitTermination()
+    writer = (stream.writeStream.format("parquet")
+              .option("path", target)
+              .option("checkpointLocation", checkpoint)
+              .outputMode("append")
+              .trigger(availableNow=True))
+    start_with_state_settings(writer, spark, state_partitions).awaitTermination()
 
 
 def ingested(spark: SparkSession, target: str) -> DataFrame:

@@ -42,6 +42,11 @@ def location_exists(candidates: DataFrame, geo: DataFrame) -> DataFrame:
             .select("location", F.coalesce("_hit", F.lit(False)).alias("known")))
 
 
+def location_known(geo: DataFrame, location: str) -> bool:
+    """C20 for one key: is ``location`` recorded?  Stops at the first match."""
+    return geo.where(F.col("location") == location).limit(1).count() > 0
+
+
 def latest_geo(geo_log: DataFrame, seq_col: str = "seq") -> DataFrame:
     """D3j: one row per location -- the record with the greatest ``seq_col``
     (later writes overwrite earlier ones).  ``max_by`` is combined map-side,

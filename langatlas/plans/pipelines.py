@@ -39,6 +39,33 @@ def pending_locations(repos: DataFrame, geo: DataFrame) -> DataFrame:
     return G.pending_locations(D.region_counts(repos), geo)
 
 
+def apply_geocodes(geo: DataFrame, pending: DataFrame, replies: DataFrame) -> DataFrame:
+    """P7, second half: parse the replies, record misses with nulls and upsert
+    (write the result to a new path before replacing ``geo``)."""
+    from langatlas.sources.geocode import parse_geocode
+    return G.upsert_geo(geo, G.resolve_lookups(pending, parse_geocode(replies)))
+
+
+def cluster_languages(dist: DataFrame, k: int = 6, share: float = S.ENERGY_SHARE,
+                      seed: int = 42, gmm_pca_k: int | None = None):
+    """P4 (the reference's Spark job): density export -> spots -> bin vectors
+    -> energy threshold -> KMeans + Gaussian mixture.
+
+    Returns ``(assignments, members, models)``.  The exploded coordinates and
+    the vectors are materialised (several branches / iterations read them).
+    """
+    from langatlas.operators import clusters as CL
+    coords = cut_lineage(S.explode_coords(dist))
+    index = S.bin_index(S.global_universe(coords))
+    kept = S.energy_bins(S.bin_vectors(coords, index), share)
+    spark = dist.sparkSession
+    vectors = cut_lineage(CL.language_vectors(kept, index, coords.select("lang").distinct())
+                          .coalesce(spark.sparkContext.defaultParallelism))
+    models = CL.learn_patterns(vectors, k=k, seed=seed, gmm_pca_k=gmm_pca_k)
+    assigned = CL.assign_clusters(models, vectors)
+    return assigned, CL.cluster_members(assigned), models
+
+
 @dataclass
 class Workload:
     """Shared intermediate plans over one bridge (lazy DataFrames only)."""

@@ -34,3 +34,21 @@ def test_gmm_on_pca_projection(spark):
     got = CL.assign_clusters(models, vec).collect()
     assert len(got) == 24 and all(r["gmm"] in (0, 1) for r in got)
     assert len(CL.cluster_centers(models, vec).where(F.col("model") == "gmm").collect()) == 2
+
+
+def test_cluster_languages_from_export(spark):
+    from langatlas.plans.pipelines import cluster_languages
+    from langatlas.schemas import DIST
+    spots = [(float(a), float(b)) for a in range(4) for b in range(3)]
+    data = []
+    for j in range(14):
+        coords = [[lat, lng, float((j * 7 + i * 3) % 11)] for i, (lat, lng) in enumerate(spots)
+                  if (i + j) % 3]
+        data.append(((f"L{j}", "{}"), coords))
+    data.append((("Empty", "{}"), []))
+    dist = spark.createDataFrame(data, DIST)
+    assigned, members, models = cluster_languages(dist, k=3)
+    rows = assigned.collect()
+    assert sorted(r["lang"] for r in rows) == sorted(f"L{j}" for j in range(14))
+    assert all(0 <= r["kmeans"] < 3 for r in rows)
+    assert sum(len(r["langs"]) for r in members.where(F.col("model") == "kmeans").collect()) == 14

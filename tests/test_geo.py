@@ -67,3 +67,8 @@ def test_latest_pending_upsert(spark):
         ("Berlin", None, None)])
     ex = G.location_exists(G.candidate_locations(regions), latest)
     assert dict((r["location"], r["known"]) for r in ex.collect())["Oslo"] is True
+
+
+def test_single_key_exists(spark):
+    geo = spark.createDataFrame([("Oslo",), ("Lima",)], "location string")
+    assert G.location_known(geo, "Oslo") and not G.location_known(geo, "Rome")

@@ -72,3 +72,13 @@ def test_latest_pending_upsert(spark):
 def test_single_key_exists(spark):
     geo = spark.createDataFrame([("Oslo",), ("Lima",)], "location string")
     assert G.location_known(geo, "Oslo") and not G.location_known(geo, "Rome")
+
+
+def test_upsert_duplicates_deterministic(spark):
+    cols = "location string, city string, country string, lat double, lng double, seq bigint"
+    geo = spark.createDataFrame([("Oslo", "a", "NO", 1.0, 1.0, 0)], cols)
+    upd = spark.createDataFrame([("Oslo", "late", "NO", 3.0, 3.0, 9), ("Oslo", "early", "NO", 2.0, 2.0, 4)],
+                                cols)
+    out = G.upsert_geo(geo, upd, seq_col="seq")
+    assert rows_of(out, "location", "city") == [("Oslo", "late")]
+    assert G.upsert_geo(geo, upd).count() == 1

@@ -8,8 +8,8 @@ third of all rows) or a global index over all spots would then be one task.
 1. range-partitions on ``(group, order)`` -- the sampler splits a hot group
    over many partitions -- and sorts inside each partition;
 2. tags rows with the partition id and ``monotonically_increasing_id`` and
-   checkpoints, so the partition boundaries are fixed (and survive executor
-   loss) before they are used twice;
+   materialises them as a stage in the shared folder, so the ids are fixed
+   (and survive executor loss) before they are used twice;
 3. sums count / value per (partition, group) segment -- at most
    ``partitions + groups`` rows -- and turns them into per-segment offsets
    with a window whose groups hold at most ``partitions`` rows;

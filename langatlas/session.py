@@ -65,11 +65,17 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/stages/{name}-{uuid.uuid4().hex[:12]}"
 
 
-def cut_lineage(df):
-    """Materialise ``df`` reliably in the checkpoint folder and return it.
-
-    Used where a plan must not be recomputed differently (partition ids after a
-    range shuffle) and to survive executor loss without replaying the lineage.
+def cut_lineage(df, name: str = "stage"):
+    """Materialise ``df`` as a Parquet stage in the shared folder and return a
+    scan of it.
+
+    Used where a plan must not be recomputed differently (partition ids and
+    row ids taken after a range shuffle) and where several branches or
+    iterations read the same intermediate result.  One write job (a reliable
+    ``checkpoint()`` needs a second job that recomputes the data and stores
+    Java-serialised rows); the stage survives executor loss like a checkpoint.
     """
-    shared_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    spark = df.sparkSession
+    path = scratch_path(spark, name)
+    df.write.parquet(path)
+    return spark.read.parquet(path)

@@ -6,6 +6,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from langatlas.functions.scalars import lenient_int
 from langatlas.operators.scan import prefix_scan
 
 # Fixed default from the reference: keep the largest bins holding 66 % of a
@@ -36,8 +37,7 @@ def explode_coords(dist: DataFrame, keep_rejects: bool = False) -> DataFrame:
             .select("lang", F.explode("coords").alias("c")))
     lat = F.try_element_at("c", F.lit(1)).try_cast("double")
     lng = F.try_element_at("c", F.lit(2)).try_cast("double")
-    raw_d = F.try_element_at("c", F.lit(3))
-    density = F.coalesce(raw_d.try_cast("bigint"), F.lit(0).cast("bigint"))
+    density = lenient_int(F.try_element_at("c", F.lit(3)))
     out = rows.select("lang", lat.alias("lat"), lng.alias("lng"), density.alias("density"))
     ok = F.col("lat").isNotNull() & F.col("lng").isNotNull()
     if keep_rejects:
@@ -71,6 +71,13 @@ def bin_vectors(coords: DataFrame, index: DataFrame) -> DataFrame:
     return per_spot.join(index, ["lat", "lng"]).select("lang", "bin", "value")
 
 
+def half_up(x: F.Column) -> F.Column:
+    """``round`` to an integer, half up (values here are >= 0).  The 1e-9
+    nudge keeps an exact half from falling either way by the last bit of a
+    sum taken in another order."""
+    return F.floor(x + 0.5 + 1e-9).cast("bigint")
+
+
 def energy_bins(bins: DataFrame, share: float = ENERGY_SHARE) -> DataFrame:
     """E8 + F5 (documented intent): per language keep the largest bins until
     their energy reaches ``share`` of the vector's energy; a kept bin becomes
@@ -88,7 +95,7 @@ def energy_bins(bins: DataFrame, share: float = ENERGY_SHARE) -> DataFrame:
     return (scanned.where(F.sqrt("before") < F.lit(share) * norm)
             .select("lang", "bin", F.col("value").alias("b"),
                     norm.alias("norm"),
-                    F.round(F.lit(100.0) * F.col("value") / norm).cast("bigint").alias("value")))
+                    half_up(F.lit(100.0) * F.col("value") / norm).alias("value")))
 
 
 def energy_bins_literal(bins: DataFrame) -> DataFrame:

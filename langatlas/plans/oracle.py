@@ -258,7 +258,7 @@ ORACLE: dict[str, str] = {
     "bin_vectors": "SELECT lang, bin, value FROM bins",
     "energy_bins": """
         SELECT lang, bin, value AS b, round(sqrt(energy), 6) AS norm,
-               CAST(round(100.0 * value / sqrt(energy)) AS BIGINT) AS value
+               CAST(floor(100.0 * value / sqrt(energy) + 0.5 + 1e-9) AS BIGINT) AS value
         FROM energy""",
     "energy_bins_literal": """
         SELECT lang, bin, CAST(9223372036854775807 AS BIGINT) AS value FROM (

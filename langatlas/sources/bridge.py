@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 
 from langatlas.functions.locations import normalize_location
 from langatlas.session import scratch_path
-from langatlas.sources.repos import enrich_repos, nest_languages
+from langatlas.sources.repos import enrich_repos
 from langatlas.sources.tables import read_table
 
 # Languages that are API error texts, not languages (stored as a language key
@@ -121,11 +121,6 @@ class Bridge:
                         login_of(F.col("o_custkey")).alias("owner_login"),
                         F.struct("o_orderdate", "o_orderkey").alias("_id"))
 
-    @cached_property
-    def nested_langs(self) -> DataFrame:
-        """``repo_id, langs`` with langs in key order (array<struct<lang, loc>>)."""
-        return nest_languages(self.langs)
-
     def repos_with(self, users_raw: DataFrame) -> DataFrame:
         return enrich_repos(self.repos_raw.drop("_id"), users_raw, self.langs)
 

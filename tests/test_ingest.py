@@ -19,3 +19,41 @@ def test_two_runs_then_rerun_adds_nothing(spark):
     run_ingest(spark, st, f"{landing}/*", target, ckpt, key="id", files_per_batch=1)
     out = ingested(spark, target)
     assert out.count() == 150 and out.select("id").distinct().count() == 150
+
+
+def test_incremental_equals_one_batch(spark):
+    schema = spark.createDataFrame([], "id bigint, v string").schema
+    landing = scratch_path(spark, "land2")
+    for d, (lo, hi) in enumerate([(0, 40), (30, 80), (75, 120)]):
+        spark.range(lo, hi).select("id", F.col("id").cast("string").alias("v")) \
+            .write.parquet(f"{landing}/d={d}")
+    inc, inc_ck = scratch_path(spark, "inc"), scratch_path(spark, "inc-ck")
+    run_ingest(spark, schema, f"{landing}/d=0", inc, inc_ck, key="id")
+    run_ingest(spark, schema, f"{landing}/*", inc, inc_ck, key="id")
+    one, one_ck = scratch_path(spark, "one"), scratch_path(spark, "one-ck")
+    run_ingest(spark, schema, f"{landing}/*", one, one_ck, key="id", files_per_batch=100)
+    a = sorted(r["id"] for r in ingested(spark, inc).collect())
+    b = sorted(r["id"] for r in ingested(spark, one).collect())
+    assert a == b == list(range(120))
+
+
+def test_geo_fill_replay_and_misses(spark):
+    from langatlas.sources.geocode import reply_body
+    from langatlas.streaming.geo_fill import current_geo, run_geo_fill, seed_geo_log
+    cols = "location string, city string, country string, lat double, lng double"
+    log, replies, ck = (scratch_path(spark, n) for n in ("glog", "grep", "gck"))
+    seed_geo_log(spark.createDataFrame([("Oslo", "x", "NO", 1.0, 2.0)], cols), log)
+    src = spark.createDataFrame([("Lima", "OK", "LIM", "Peru", -12.0, -77.0),
+                                 ("Rome", "ZERO_RESULTS", None, None, None, None),
+                                 ("Oslo", "OK", "new", "NO", 9.0, 9.0)],
+                                "location string, status string, city string, country string, "
+                                "lat double, lng double")
+    body = src.select("location", reply_body(F.col("status"), F.col("city"), F.col("country"),
+                                             F.col("lat"), F.col("lng")).alias("body"))
+    body.write.parquet(f"{replies}/d=1")
+    run_geo_fill(spark, f"{replies}/*", log, ck)
+    body.write.parquet(f"{replies}/d=2")                    # re-delivered
+    run_geo_fill(spark, f"{replies}/*", log, ck)
+    got = {r["location"]: (r["city"], r["lat"]) for r in current_geo(spark, log).collect()}
+    # Oslo was known: its reply is skipped; Rome's miss is recorded with nulls
+    assert got == {"Oslo": ("x", 1.0), "Lima": ("LIM", -12.0), "Rome": (None, None)}

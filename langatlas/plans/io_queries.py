@@ -1,14 +1,14 @@
-"""Registered queries that write and read back (sinks, JSON source, streaming
-ingest) and the clustering queries.  Rows-only checks: no SQL oracle.
+"""Registered queries that write and read back (sinks, JSON source, streams)
+and the clustering queries.  Most are rows-only checks; ``geo_fill_stream``
+has an SQL oracle (its end state equals ``geo_upsert``).
 
 Each run writes under a fresh path of the shared folder.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import functions as F
-
 from pyspark.ml.functions import array_to_vector
+from pyspark.sql import functions as F
 
 from langatlas.operators import clusters as CL
 from langatlas.operators import correlation as C
@@ -53,9 +53,9 @@ def sink_overwrite(spark, sf_dir):
 
 @query
 def incremental_ingest(spark, sf_dir):
-    """S1 + B2 + P5: events land as files in two deliveries (the second one
-    re-delivers the newest file); two ``availableNow`` runs ingest them with
-    the stream checkpoint as cursor and duplicates dropped by key."""
+    """S1 + B2 + P5: events land as files in three deliveries (the third one
+    re-sends records already landed); two ``availableNow`` runs ingest them
+    with the stream checkpoint as cursor and duplicates dropped by key."""
     events = Bridge(spark, sf_dir).table("events")
     landing = scratch_path(spark, "landing")
     target = scratch_path(spark, "events")

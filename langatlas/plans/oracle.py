@@ -200,6 +200,9 @@ ORACLE: dict[str, str] = {
                     THEN CAST(CAST(floor(total / 1000) AS BIGINT) AS VARCHAR) || 'K LoC'
                     ELSE CAST(total AS VARCHAR) || ' LoC' END AS label
         FROM (SELECT lang, CAST(sum(density) AS BIGINT) AS total FROM density GROUP BY lang)""",
+    "doc_lang_source": """
+        SELECT lang, source AS location, CAST(sum(n_chars) AS BIGINT) AS loc
+        FROM documents GROUP BY lang, source""",
     "doc_top_sources": """
         SELECT lang, location, loc,
                CAST(row_number() OVER (PARTITION BY lang ORDER BY loc DESC, location ASC) AS BIGINT)

@@ -92,13 +92,22 @@ def lang_total_label(spark, sf_dir):
     return D.lang_total_label(_w(spark, sf_dir).density)
 
 
+def _doc_lang_source(spark, sf_dir):
+    """E1 shape over the documents table: characters per (language, source)."""
+    return (Bridge(spark, sf_dir).table("documents", "lang", "source", "n_chars")
+            .groupBy("lang", F.col("source").alias("location"))
+            .agg(F.sum("n_chars").cast("bigint").alias("loc")))
+
+
+@query
+def doc_lang_source(spark, sf_dir):
+    return _doc_lang_source(spark, sf_dir)
+
+
 @query
 def doc_top_sources(spark, sf_dir):
     """F1 over the documents table: sources per language ranked by characters."""
-    docs = (Bridge(spark, sf_dir).table("documents", "lang", "source", "n_chars")
-            .groupBy("lang", F.col("source").alias("location"))
-            .agg(F.sum("n_chars").cast("bigint").alias("loc")))
-    return D.lang_top_regions(docs)
+    return D.lang_top_regions(_doc_lang_source(spark, sf_dir))
 
 
 # ------------------------------------------------------------------------- geo

@@ -287,6 +287,16 @@ ORACLE: dict[str, str] = {
                f.lang AS first_lang, f.loc AS first_loc
         FROM prim p JOIN langs f ON f.repo_id = p.repo_id AND f.ordinal = 1""",
     "graph_edges": f"SELECT src, dst, n, loc, {r6('weight')} AS weight FROM edges",
+    "graph_edges_literal": f"""
+        SELECT src, dst, count(*) AS n, CAST(sum(src_loc) AS BIGINT) AS loc,
+               {r6('avg(w)')} AS weight
+        FROM (
+          SELECT p.lang AS src, p.loc AS src_loc, l.lang AS dst,
+                 CASE WHEN s.tot = 0 THEN NULL ELSE CAST(l.loc AS DOUBLE) / s.tot END AS w
+          FROM langs p JOIN langs l ON l.repo_id = p.repo_id AND l.lang <> p.lang
+          JOIN repo_stats s ON s.repo_id = p.repo_id
+          WHERE p.ordinal = 1)
+        GROUP BY src, dst""",
     "edge_weight_stats": f"""
         SELECT src, dst, n, {r6('sum_w')} AS sum_w, {r6('weight')} AS mean_w,
                {r6('std_w')} AS std_w FROM edges""",

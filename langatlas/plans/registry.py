@@ -246,6 +246,13 @@ def graph_edges(spark, sf_dir):
     return _w(spark, sf_dir).edges.select("src", "dst", "n", "loc", r6("weight"))
 
 
+@query
+def graph_edges_literal(spark, sf_dir):
+    """Q2 literal reading: the primary language is the first key."""
+    e = GR.graph_edges(_w(spark, sf_dir).repos, primary="first")
+    return e.select("src", "dst", "n", "loc", r6("weight"))
+
+
 @query
 def edge_weight_stats(spark, sf_dir):
     e = _w(spark, sf_dir).edges

@@ -314,10 +314,11 @@ ORACLE: dict[str, str] = {
     "repos_since": """
         SELECT o_orderkey AS id, 'repo-' || CAST(o_orderkey AS VARCHAR) AS name,
                'user-' || CAST(o_custkey AS VARCHAR) AS owner_login
-        FROM orders
-        WHERE o_orderkey > coalesce((SELECT o_orderkey FROM orders
-                                     WHERE o_orderdate < TIMESTAMP '1996-01-01'
-                                     ORDER BY o_orderdate DESC, o_orderkey DESC LIMIT 1), 0)
+        FROM orders, (SELECT coalesce((SELECT o_orderkey FROM orders
+                                       WHERE o_orderdate < TIMESTAMP '1996-01-01'
+                                       ORDER BY o_orderdate DESC, o_orderkey DESC LIMIT 1), 0)
+                      AS cursor) c
+        WHERE c.cursor = 0 OR o_orderkey > c.cursor
         ORDER BY o_orderkey LIMIT 100""",
     "enrich_repos": """
         SELECT o.o_orderkey AS id,

@@ -35,9 +35,11 @@ def repos_since(source: DataFrame, since: F.Column | int | None,
     """A5: the next page of records after ``since`` (no filter when falsy).
     A page is the feature: ordered by id, ``page_size`` rows (TakeOrdered)."""
     df = source
-    if since is not None and not (isinstance(since, int) and since == 0):
-        cut = F.lit(since) if isinstance(since, int) else since
-        df = df.where(F.col(id_col) > cut)
+    if isinstance(since, F.Column):
+        # decided per run: a 0 / missing cursor means "from the start"
+        df = df.where((F.coalesce(since, F.lit(0)) == 0) | (F.col(id_col) > since))
+    elif since:
+        df = df.where(F.col(id_col) > F.lit(since))
     return df.orderBy(id_col).limit(page_size)
 
 

@@ -53,3 +53,15 @@ def test_append_batches(spark):
     append_batch(spark.range(3), path)
     append_batch(spark.range(3, 5), path)
     assert spark.read.parquet(path).count() == 5
+
+
+def test_page_after_cursor(spark):
+    from langatlas.sources.repos import repos_since, resume_cursor
+    src = spark.range(0, 10).select(F.col("id"), (F.col("id") * 10).alias("_id"))
+    assert [r["id"] for r in repos_since(src, 0, page_size=3).collect()] == [0, 1, 2]
+    assert [r["id"] for r in repos_since(src, 4, page_size=3).collect()] == [5, 6, 7]
+    empty = src.where(F.col("id") < 0)
+    cursor = resume_cursor(empty).scalar()            # 0: start from the beginning
+    assert [r["id"] for r in repos_since(src, cursor, page_size=2).collect()] == [0, 1]
+    cursor = resume_cursor(src.where(F.col("id") < 6)).scalar()
+    assert [r["id"] for r in repos_since(src, cursor, page_size=2).collect()] == [6, 7]

@@ -280,7 +280,7 @@ def resume_cursor(spark, sf_dir):
 def repos_since(spark, sf_dir):
     """Next page after the repositories stored before 1996."""
     raw = Bridge(spark, sf_dir).repos_raw
-    stored = raw.where(F.col("_id.o_orderdate") < F.lit("1996-01-01").cast("timestamp"))
+    stored = raw.where(F.col("_id.o_orderdate") < F.lit("1996-01-01").cast("timestamp_ntz"))
     since = R.resume_cursor(stored).scalar()
     return R.repos_since(raw.drop("_id"), since)
 

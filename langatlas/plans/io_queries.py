@@ -1,6 +1,7 @@
 """Registered queries that write and read back (sinks, JSON source, streams)
-and the clustering queries.  Most are rows-only checks; ``geo_fill_stream``
-has an SQL oracle (its end state equals ``geo_upsert``).
+and the clustering queries.  The stage and stream queries have SQL oracles
+(their end state is a plain query over the given tables); the export and
+clustering queries are rows-only checks.
 
 Each run writes under a fresh path of the shared folder.
 """

@@ -180,6 +180,11 @@ def r6(x: str) -> str:
 
 ORACLE: dict[str, str] = {
     "lang_region_loc": "SELECT lang, location, loc FROM e1",
+    "sink_overwrite": "SELECT lang, location, loc FROM e1",
+    "incremental_ingest": """
+        SELECT event_id, ts, user_id, event_type, value, props FROM (
+          SELECT *, row_number() OVER (PARTITION BY event_id ORDER BY ts) AS rn FROM events)
+        WHERE rn = 1""",
     "region_counts": "SELECT location, count(*) AS n FROM repo GROUP BY location",
     "clean_regions": "SELECT lang, location, loc FROM clean",
     "lang_top_regions": """

@@ -7,7 +7,7 @@ from dataclasses import dataclass
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.clustering import GaussianMixture, GaussianMixtureModel, KMeans, KMeansModel
 from pyspark.ml.feature import PCA
-from pyspark.ml.functions import vector_to_array
+from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.linalg import SparseVector, VectorUDT
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -16,6 +16,8 @@ from pyspark.sql import functions as F
 K = 6
 KMEANS_ITERATIONS = 10
 SEED = 42
+# Vectors up to this many spots are built natively as dense arrays.
+DENSE_MAX = 4096
 
 
 @F.udf(VectorUDT())
@@ -26,20 +28,31 @@ def _sparse_vector(size, entries):
                         [float(e["value"]) for e in entries])
 
 
-def language_vectors(kept_bins: DataFrame, index: DataFrame, languages: DataFrame) -> DataFrame:
-    """M1: ``lang, features`` -- a sparse vector of length = number of spots.
+def language_vectors(kept_bins: DataFrame, index: DataFrame, languages: DataFrame,
+                     dense_max: int = DENSE_MAX) -> DataFrame:
+    """M1: ``lang, features`` -- a vector of length = number of spots.
 
     Every language in ``languages`` gets a vector (all zero when no bin was
-    kept).  The entries of one language are bounded by the number of spots;
-    the vector size is a scalar subquery over the bin index, not a driver
-    value.  The single Python UDF only packs the already-aggregated entries.
+    kept).  The entries of one language are bounded by the number of spots.
+    Up to ``dense_max`` spots the vector is built natively (a dense array
+    filled from the language's bin map, then ``array_to_vector``); beyond
+    that, a dense vector per language would be too large, so the sorted
+    entries are packed into a ``SparseVector`` by one small Python UDF.
     """
-    size = index.select(F.count(F.lit(1))).scalar()
+    size = index.count()  # number of spots: one scalar to the driver
     per_lang = kept_bins.groupBy("lang").agg(
         F.sort_array(F.collect_list(F.struct("bin", "value"))).alias("entries"))
-    return (languages.select("lang").distinct()
-            .join(per_lang, "lang", "left")
-            .select("lang", _sparse_vector(size, "entries").alias("features")))
+    rows = languages.select("lang").distinct().join(per_lang, "lang", "left")
+    if size <= dense_max:
+        if size == 0:
+            dense = F.array().cast("array<double>")
+        else:
+            bins = F.map_from_entries(F.coalesce(
+                "entries", F.array().cast("array<struct<bin:bigint,value:bigint>>")))
+            dense = F.transform(F.sequence(F.lit(0), F.lit(size - 1)), lambda i: F.coalesce(
+                F.try_element_at(bins, i.cast("bigint")).cast("double"), F.lit(0.0)))
+        return rows.select("lang", array_to_vector(dense).alias("features"))
+    return rows.select("lang", _sparse_vector(F.lit(size), "entries").alias("features"))
 
 
 @dataclass

@@ -52,3 +52,15 @@ def test_cluster_languages_from_export(spark):
     assert sorted(r["lang"] for r in rows) == sorted(f"L{j}" for j in range(14))
     assert all(0 <= r["kmeans"] < 3 for r in rows)
     assert sum(len(r["langs"]) for r in members.where(F.col("model") == "kmeans").collect()) == 14
+
+
+def test_dense_and_sparse_vectors_agree(spark):
+    rows = [(f"L{j}", b, (j + b) % 4) for j in range(6) for b in range(0, 9, 2)]
+    kept = spark.createDataFrame([r for r in rows if r[2]], "lang string, bin bigint, value bigint")
+    index = spark.range(0, 9).select(F.col("id").alias("bin"))
+    langs = spark.createDataFrame([(f"L{j}",) for j in range(7)], "lang string")
+    dense = {r["lang"]: r["features"] for r in
+             CL.vectors_as_arrays(CL.language_vectors(kept, index, langs)).collect()}
+    sparse = {r["lang"]: r["features"] for r in
+              CL.vectors_as_arrays(CL.language_vectors(kept, index, langs, dense_max=0)).collect()}
+    assert dense == sparse and len(dense["L6"]) == 9 and sum(dense["L6"]) == 0

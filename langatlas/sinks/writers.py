@@ -6,6 +6,7 @@ the caller; nothing is written on a machine-local folder of a cluster.
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 
 from langatlas.operators.geo import upsert_geo
@@ -24,7 +25,7 @@ def cached_stage(spark: SparkSession, build, path: str, use_cached: bool = True)
     if use_cached:
         try:
             return spark.read.parquet(path)
-        except Exception:  # noqa: BLE001 -- missing stage: build it
+        except AnalysisException:  # no such stage yet: build it
             pass
     return overwrite_stage(build(), path)
 

@@ -9,7 +9,6 @@ DuckDB oracle (``langatlas.plans.oracle``); both must stay in step.
 
 from __future__ import annotations
 
-import os
 from dataclasses import dataclass
 from functools import cached_property
 
@@ -25,14 +24,13 @@ from langatlas.sources.tables import read_table
 # by the harvester).  Fixed value from the reference.
 NON_LANGUAGES = ("message",)
 
-
 _LANDED: dict[tuple[str, str, str], str] = {}
 
 
 def landed(spark: SparkSession, sf_dir: str, name: str, build) -> DataFrame:
     """Write ``build()`` once per (session, input folder, name) under the shared
     folder and return a scan of it."""
-    key = (spark.sparkContext.applicationId, os.path.abspath(sf_dir), name)
+    key = (spark.sparkContext.applicationId, sf_dir.rstrip("/"), name)
     path = _LANDED.get(key)
     if path is None:
         path = scratch_path(spark, f"landed-{name}")

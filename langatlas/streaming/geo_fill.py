@@ -5,7 +5,8 @@ only locations not yet known (a failed lookup is known too), parses the
 replies natively, records misses with nulls and appends the records to the
 geo log with the batch id as sequence.  The current geo table is the log's
 last record per location (``latest_geo``), so an upsert is an append and a
-replayed batch (same id, same records) changes nothing.
+replayed batch (same id, same records) changes nothing.  The log can be
+compacted at any time by seeding a new one from ``current_geo``.
 """
 
 from __future__ import annotations
@@ -13,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from langatlas.operators.geo import GEO_COLUMNS, latest_geo, resolve_lookups
+from langatlas.operators.geo import GEO_COLUMNS, latest_geo
 from langatlas.sources.geocode import parse_geocode
 
 REPLY_SCHEMA = "location string, body string"
@@ -37,7 +38,8 @@ def run_geo_fill(spark: SparkSession, replies_dir: str, log_path: str, checkpoin
     def upsert(batch: DataFrame, batch_id: int) -> None:
         known = spark.read.parquet(log_path).select("location").distinct()
         fresh = batch.dropDuplicates(["location"]).join(known, "location", "left_anti")
-        records = resolve_lookups(fresh.select("location"), parse_geocode(fresh))
+        # every row carries its reply: a failed or non-OK one parses to nulls
+        records = parse_geocode(fresh).select(*GEO_COLUMNS)
         (records.withColumn("seq", F.lit(batch_id + 1).cast("bigint"))
          .write.mode("append").parquet(log_path))
 

@@ -78,7 +78,7 @@ def incremental_ingest(spark, sf_dir):
 def _cluster_inputs(spark, sf_dir):
     w = _w(spark, sf_dir)
     langs = w.coords.select("lang").distinct()
-    return CL.language_vectors(w.energy, w.bin_index, langs)
+    return CL.language_vectors(w.energy, w.bins_index, langs)
 
 
 @query

@@ -103,27 +103,38 @@ class Workload:
         return D.nest_coords(self.lang_region, self.geo)
 
     @cached_property
-    def coords(self) -> DataFrame:
-        """Spatial input in long form ``lang, lat, lng, density``.
+    def coords_plan(self) -> DataFrame:
+        """Spatial input in long form ``lang, lat, lng, density`` (lazy).
 
         The spatial operators never need the per-language lists of the nested
         export (a hot language would put all its spots in one row), so they
         start from the long table; ``explode_coords`` is the adapter for
-        reading an export file.  Materialised once per query: the universe,
-        the bin index and the bin vectors all branch from it."""
-        return cut_lineage(self.density.select("lang", "lat", "lng", "density"))
+        reading an export file."""
+        return self.density.select("lang", "lat", "lng", "density")
+
+    @cached_property
+    def coords(self) -> DataFrame:
+        """``coords_plan`` materialised, for plans that read it twice (the bin
+        index and the per-spot sums both start from it)."""
+        return cut_lineage(self.coords_plan)
 
     @cached_property
     def universe(self) -> DataFrame:
-        return S.global_universe(self.coords)
+        return S.global_universe(self.coords_plan)
 
     @cached_property
     def bin_index(self) -> DataFrame:
         return S.bin_index(self.universe)
 
+    @cached_property
+    def bins_index(self) -> DataFrame:
+        """The bin index over the materialised coordinates (shared by the bin
+        vectors and the clustering vector size)."""
+        return S.bin_index(S.global_universe(self.coords))
+
     @cached_property
     def bins(self) -> DataFrame:
-        return S.bin_vectors(self.coords, self.bin_index)
+        return S.bin_vectors(self.coords, self.bins_index)
 
     @cached_property
     def energy(self) -> DataFrame:

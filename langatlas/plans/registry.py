@@ -200,7 +200,7 @@ def energy_bins_literal(spark, sf_dir):
 @query
 def dataset_profile(spark, sf_dir):
     w = _w(spark, sf_dir)
-    return P.dataset_profile(w.dist, w.coords, w.universe)
+    return P.dataset_profile(w.dist, w.coords_plan, w.universe)
 
 
 # ----------------------------------------------------------------- correlation

@@ -64,14 +64,15 @@ def incremental_ingest(spark, sf_dir):
     cut = events.select(F.percentile_approx("event_id", 0.5)).scalar()
     first = events.where(F.col("event_id") <= cut)
     second = events.where(F.col("event_id") > cut)
+    # four files per delivery, one delivery per micro-batch
     first.repartitionByRange(4, "event_id").write.parquet(f"{landing}/delivery=1")
     run_ingest(spark, events.schema, f"{landing}/*", target, ckpt, key="event_id",
-               files_per_batch=2)
+               files_per_batch=4)
     second.repartitionByRange(4, "event_id").write.parquet(f"{landing}/delivery=2")
     # re-delivery of records already landed
     first.where(F.col("event_id") > cut - 100).write.parquet(f"{landing}/delivery=3")
     run_ingest(spark, events.schema, f"{landing}/*", target, ckpt, key="event_id",
-               files_per_batch=2)
+               files_per_batch=4)
     return ingested(spark, target)
 
 

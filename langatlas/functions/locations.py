@@ -6,10 +6,12 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 # Fixed values that must equal the reference's: location texts that name no
-# place.  Compared lower-case to lower-case (the reference mixes cases, so
-# 'Earth' and 'Worldwide' slipped through one check or the other).
-INVALID_LOCATIONS = ("undefined", "null", "0", "1", "earth",
+# place, as listed there.
+INVALID_LOCATIONS = ("undefined", "null", "0", "1", "Earth",
                      "the internet", "the interweb", "worldwide")
+# Compared lower-case to lower-case (the reference mixes cases, so 'Earth' and
+# 'Worldwide' slipped through one check or the other).
+_INVALID_LOWER = tuple(v.lower() for v in INVALID_LOCATIONS)
 
 # Legacy text markers of a missing location, read back as NULL.
 NULL_MARKERS = ("null", "undefined")
@@ -29,7 +31,7 @@ def normalize_location(c: Column | str) -> Column:
 def is_place_name(c: Column | str) -> Column:
     """Not one of the known non-place texts (case-insensitive)."""
     c = F.col(c) if isinstance(c, str) else c
-    return ~F.lower(c).isin(*INVALID_LOCATIONS)
+    return ~F.lower(c).isin(*_INVALID_LOWER)
 
 
 def is_density_location(c: Column | str, max_len: int = MAX_DENSITY_LOCATION_LEN) -> Column:

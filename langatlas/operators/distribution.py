@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from langatlas.functions.locations import is_density_location
+from langatlas.functions.locations import MAX_DENSITY_LOCATION_LEN, is_density_location
 from langatlas.functions.scalars import loc_label
 from langatlas.operators.scan import rank_within
 
@@ -49,7 +49,7 @@ def region_counts(repos: DataFrame) -> DataFrame:
             .agg(F.count(F.lit(1)).alias("n")))
 
 
-def clean_regions(lang_region: DataFrame, max_len: int = 48) -> DataFrame:
+def clean_regions(lang_region: DataFrame, max_len: int = MAX_DENSITY_LOCATION_LEN) -> DataFrame:
     """C5 + C6: drop non-place and over-long locations and non-numeric amounts."""
     return lang_region.where(
         (F.col("lang") != "message")
@@ -58,7 +58,8 @@ def clean_regions(lang_region: DataFrame, max_len: int = 48) -> DataFrame:
         & ~F.isnan(F.col("loc").cast("double")))
 
 
-def lang_top_regions(lang_region: DataFrame, max_len: int = 48) -> DataFrame:
+def lang_top_regions(lang_region: DataFrame,
+                     max_len: int = MAX_DENSITY_LOCATION_LEN) -> DataFrame:
     """each language's clean locations ranked by LoC (desc, then name)."""
     clean = clean_regions(lang_region, max_len)
     return rank_within(clean, ["lang"], [F.col("loc").desc(), F.col("location").asc()])

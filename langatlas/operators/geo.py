@@ -6,7 +6,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from langatlas.functions.locations import is_geocodable
+from langatlas.functions.locations import GEOCODE_MAX_LEN, GEOCODE_MIN_LEN, is_geocodable
 
 GEO_COLUMNS = ("location", "city", "country", "lat", "lng")
 
@@ -16,7 +16,8 @@ def candidate_locations(regions: DataFrame) -> DataFrame:
     return regions.where(F.col("location").isNotNull()).select("location").distinct()
 
 
-def geocodable_locations(regions: DataFrame, min_len: int = 3, max_len: int = 10) -> DataFrame:
+def geocodable_locations(regions: DataFrame, min_len: int = GEOCODE_MIN_LEN,
+                         max_len: int = GEOCODE_MAX_LEN) -> DataFrame:
     """C7 + C8: distinct locations worth a geocoder request."""
     return candidate_locations(regions).where(is_geocodable("location", min_len, max_len))
 
@@ -26,8 +27,8 @@ def list_locations(geo: DataFrame) -> DataFrame:
     return geo.select("location")
 
 
-def pending_locations(regions: DataFrame, geo: DataFrame, min_len: int = 3,
-                      max_len: int = 10) -> DataFrame:
+def pending_locations(regions: DataFrame, geo: DataFrame, min_len: int = GEOCODE_MIN_LEN,
+                      max_len: int = GEOCODE_MAX_LEN) -> DataFrame:
     """D1j / G1 / S2: geocodable locations not yet in ``geo`` (a known location
     is skipped even when its lookup failed)."""
     return geocodable_locations(regions, min_len, max_len).join(

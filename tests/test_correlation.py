@@ -53,3 +53,13 @@ def test_lazy_percent_truncates(spark):
     df = spark.createDataFrame([(0.123456,), (1.0,), (0.00019,)], "occ double")
     assert [r[0] for r in df.select(C.lazy_percent("occ")).collect()] == [
         "12.34 %", "100.00 %", "0.01 %"]
+
+
+def test_correlation_json_export(spark):
+    import json
+    rep = C.correlation_report(_repos(spark), top_langs=2, top_k=3)
+    out = {r["lang"]: (r["pair_count"], json.loads(r["top"])) for r in C.correlation_json(rep).collect()}
+    assert set(out) == {"A", "B"}
+    pc, top = out["A"]
+    assert pc == 3 and [t["lang"] for t in top] == ["A", "B", "C"]
+    assert top[0]["occ"] == 1.0 and abs(top[1]["occ"] - 2 / 3) < 1e-12

@@ -106,6 +106,16 @@ def listed_languages(lang_region: DataFrame) -> DataFrame:
             .where(F.col("_t") > 0).select("lang"))
 
 
+def listed_languages_export(dist: DataFrame) -> DataFrame:
+    """C16 on a density export: languages whose ``lang.value`` entries, other
+    than the missing-location key ``"null"``, sum to more than zero."""
+    from langatlas.sources.dist_json import lang_value_map
+    entries = F.filter(F.map_entries("value"), lambda e: e["key"] != "null")
+    total = F.aggregate(entries, F.lit(0).cast("bigint"),
+                        lambda acc, e: acc + F.coalesce(e["value"], F.lit(0).cast("bigint")))
+    return lang_value_map(dist).where(total > 0).select("lang")
+
+
 def heatmap_points(density: DataFrame, lang: str | F.Column) -> DataFrame:
     """C14 + C15: one language's coordinates as weighted points."""
     cond = F.col("lang") == (F.lit(lang) if isinstance(lang, str) else lang)

@@ -75,3 +75,13 @@ def test_rank_matches_window_with_hot_group(spark):
     w = Window.partitionBy("lang").orderBy(F.col("loc").desc(), "location")
     ref = D.clean_regions(lr).withColumn("rank", F.row_number().over(w).cast("bigint"))
     assert rows_of(ours, "lang", "location", "rank") == rows_of(ref, "lang", "location", "rank")
+
+
+def test_listed_languages_from_export_matches_long_form(spark):
+    lr = spark.createDataFrame([("A", None, 10), ("B", "Oslo", 0), ("C", "Oslo", 3),
+                                ("C", None, 4), ("D", "Lima", 1)],
+                               "lang string, location string, loc bigint")
+    geo = spark.createDataFrame([("Oslo", None, None, 1.0, 2.0)],
+                                "location string, city string, country string, lat double, lng double")
+    export = D.nest_coords(lr, geo)
+    assert rows_of(D.listed_languages_export(export)) == rows_of(D.listed_languages(lr))

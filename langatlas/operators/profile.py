@@ -17,3 +17,11 @@ def dataset_profile(dist: DataFrame, coords: DataFrame, universe: DataFrame) ->
                     F.count_if(F.size("coords") > 0).alias("n_langs_with_coords")).select(
         "n_langs", "n_langs_with_coords", n_coords.alias("n_coords"),
         n_spots.alias("n_spots"), total.alias("total_density"))
+
+
+def entries_per_base(cooc: DataFrame) -> DataFrame:
+    """E15, per language: entries of its co-occurrence record -- every partner
+    plus the language itself (the reference stores the base under its own
+    key)."""
+    return (cooc.groupBy(F.col("base").alias("lang"))
+            .agg((F.count(F.lit(1)) + 1).alias("n_entries")))

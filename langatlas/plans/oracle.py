@@ -278,6 +278,7 @@ ORACLE: dict[str, str] = {
                (SELECT count(*) FROM density) AS n_coords,
                (SELECT count(*) FROM universe) AS n_spots,
                (SELECT CAST(sum(total) AS BIGINT) FROM universe) AS total_density""",
+    "corr_entries": "SELECT base AS lang, count(*) + 1 AS n_entries FROM pairs GROUP BY base",
     "lang_cooccurrence": "SELECT base, other, n FROM pairs",
     "lang_pair_totals": "SELECT lang, pair_count, repo_count FROM totals",
     "corr_top_partners": f"SELECT lang, rank, partner, {r6('occ')} AS occ FROM partners",

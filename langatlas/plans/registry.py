@@ -203,6 +203,11 @@ def dataset_profile(spark, sf_dir):
     return P.dataset_profile(w.dist, w.coords_plan, w.universe)
 
 
+@query
+def corr_entries(spark, sf_dir):
+    return P.entries_per_base(_w(spark, sf_dir).cooc)
+
+
 # ----------------------------------------------------------------- correlation
 @query
 def lang_cooccurrence(spark, sf_dir):

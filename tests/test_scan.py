@@ -29,3 +29,15 @@ def test_prefix_scan_global(spark):
     df = spark.range(0, 5000).select(((F.col("id") * 7919) % 5000).alias("k"))
     out = prefix_scan(df, [], ["k"], num_partitions=9)
     assert all(r["pos"] == r["k"] for r in out.collect())
+
+
+def test_prefix_scan_edges(spark):
+    empty = spark.createDataFrame([], "g string, k bigint, v bigint")
+    assert prefix_scan(empty, ["g"], ["k"], value_col="v").count() == 0
+    one = spark.createDataFrame([("a", 1, 5)], "g string, k bigint, v bigint")
+    r = prefix_scan(one, ["g"], ["k"], value_col="v", total_col="t").first()
+    assert (r["pos"], r["before"], r["t"]) == (0, 0, 5)
+    nulls = spark.createDataFrame([(None, i, i) for i in range(5)], "g string, k bigint, v bigint")
+    got = sorted((r["k"], r["pos"], r["before"]) for r in
+                 prefix_scan(nulls, ["g"], ["k"], value_col="v", num_partitions=3).collect())
+    assert got == [(i, i, sum(range(i))) for i in range(5)]

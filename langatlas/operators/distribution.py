@@ -24,6 +24,13 @@ def repo_total_loc(langs: str = "langs") -> F.Column:
     return F.aggregate(langs, F.lit(0).cast("bigint"), lambda acc, x: acc + x["loc"])
 
 
+def repo_total(repos: DataFrame) -> F.Column:
+    """The repository total: the ``loc_total`` column when the table carries it
+    (computed once when the table is landed, so a filter on it is pushed into
+    the Parquet scan and stays in generated code), else computed in-row."""
+    return F.col("loc_total") if "loc_total" in repos.columns else repo_total_loc()
+
+
 def lang_region_loc(repos: DataFrame, min_repo_loc: int = MIN_REPO_LOC,
                     min_owner_repos: int = MIN_OWNER_REPOS,
                     min_followers: int = MIN_OWNER_FOLLOWERS) -> DataFrame:
@@ -34,7 +41,7 @@ def lang_region_loc(repos: DataFrame, min_repo_loc: int = MIN_REPO_LOC,
     partially combined before its shuffle, so a hot language or location
     costs one partial row per task.
     """
-    kept = repos.where((repo_total_loc() >= min_repo_loc)
+    kept = repos.where((repo_total(repos) >= min_repo_loc)
                        & (F.col("owner.repos") > min_owner_repos)
                        & (F.col("owner.followers") >= min_followers))
     rows = kept.select(F.col("owner.location").alias("location"),

@@ -134,9 +134,13 @@ class Bridge:
         In the reference this is the stored collection every job starts from.
         The bridge lands it once per session and input folder as Parquet in
         the shared folder; every query then scans it (column and nested-field
-        pruning apply) instead of re-deriving it from the TPC-H tables.
+        pruning apply) instead of re-deriving it from the TPC-H tables.  The
+        landing also stores each repository's LoC total (``loc_total``), so
+        the small-repository filter is a pushed-down column predicate.
         """
-        return landed(self.spark, self.sf_dir, "repos", lambda: self.repos_built)
+        from langatlas.operators.distribution import repo_total_loc
+        return landed(self.spark, self.sf_dir, "repos",
+                      lambda: self.repos_built.withColumn("loc_total", repo_total_loc()))
 
     # -------------------------------------------------------------------- geo
     @cached_property

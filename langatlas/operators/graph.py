@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from langatlas.operators.distribution import repo_total
+
 # Fixed default from the reference: nodes drawn only above this many LoC.
 MIN_NODE_LOC = 5e5
 
@@ -26,12 +28,20 @@ def primary_language(langs: str = "langs", mode: str = "max") -> F.Column:
                                               best["loc"].alias("loc")))
 
 
+def primary_of(repos: DataFrame, mode: str = "max") -> F.Column:
+    """The primary entry: the stored ``primary_<mode>`` column when the table
+    carries it (computed once when landed, so later plans stay in generated
+    code), else computed in-row."""
+    stored = f"primary_{mode}"
+    return F.col(stored) if stored in repos.columns else primary_language(mode=mode)
+
+
 def primary_languages(repos: DataFrame) -> DataFrame:
     """Both readings of F4 for every repository that has languages."""
     return (repos.where(F.size("langs") > 0)
             .select(F.col("id").alias("repo_id"),
-                    primary_language(mode="max").alias("p"),
-                    primary_language(mode="first").alias("f"))
+                    primary_of(repos, "max").alias("p"),
+                    primary_of(repos, "first").alias("f"))
             .select("repo_id", F.col("p.lang").alias("primary_lang"),
                     F.col("p.loc").alias("primary_loc"),
                     F.col("f.lang").alias("first_lang"), F.col("f.loc").alias("first_loc")))
@@ -40,10 +50,9 @@ def primary_languages(repos: DataFrame) -> DataFrame:
 def _primary_rows(repos: DataFrame, primary: str) -> DataFrame:
     """Per repository: ``id, tot, p`` (primary entry) and ``others`` -- the
     neighbour entries (every other named language)."""
-    total = F.aggregate("langs", F.lit(0).cast("bigint"), lambda a, x: a + x["loc"])
     base = (repos.where(F.size("langs") > 0)
-            .select("id", "langs", total.alias("tot"),
-                    primary_language(mode=primary).alias("p"))
+            .select("id", "langs", repo_total(repos).alias("tot"),
+                    primary_of(repos, primary).alias("p"))
             .where(F.col("p.lang").isNotNull()))
     others = F.filter("langs", lambda x: (x["lang"] != F.col("p.lang")) & x["lang"].isNotNull()
                       & (x["lang"] != ""))
@@ -54,9 +63,8 @@ def graph_emissions(repos: DataFrame, primary: str = "max") -> DataFrame:
     """D5j: one row per (repository, neighbour): ``src, src_loc, dst, w`` with
     ``w = neighbour LoC / repository LoC``.  Star join inside the row: the
     list is exploded and the primary's own entry dropped."""
-    total = F.aggregate("langs", F.lit(0).cast("bigint"), lambda a, x: a + x["loc"])
     base = (repos.where(F.size("langs") > 0)
-            .select("langs", total.alias("tot"), primary_language(mode=primary).alias("p"))
+            .select("langs", repo_total(repos).alias("tot"), primary_of(repos, primary).alias("p"))
             .where(F.col("p.lang").isNotNull()))
     return (base.select("tot", "p", F.explode("langs").alias("a"))
             .where((F.col("a.lang") != F.col("p.lang")) & (F.col("a.lang") != ""))

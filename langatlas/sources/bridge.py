@@ -135,12 +135,17 @@ class Bridge:
         The bridge lands it once per session and input folder as Parquet in
         the shared folder; every query then scans it (column and nested-field
         pruning apply) instead of re-deriving it from the TPC-H tables.  The
-        landing also stores each repository's LoC total (``loc_total``), so
-        the small-repository filter is a pushed-down column predicate.
+        landing also stores each repository's LoC total (``loc_total``) and
+        both readings of its primary language (``primary_max`` /
+        ``primary_first``), so the small-repository filter is a pushed-down
+        column predicate and the graph plans stay in generated code.
         """
         from langatlas.operators.distribution import repo_total_loc
-        return landed(self.spark, self.sf_dir, "repos",
-                      lambda: self.repos_built.withColumn("loc_total", repo_total_loc()))
+        from langatlas.operators.graph import primary_language
+        return landed(self.spark, self.sf_dir, "repos", lambda: self.repos_built.select(
+            "*", repo_total_loc().alias("loc_total"),
+            primary_language(mode="max").alias("primary_max"),
+            primary_language(mode="first").alias("primary_first")))
 
     # -------------------------------------------------------------------- geo
     @cached_property

@@ -4,21 +4,54 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from langatlas.llm import simhash
+from langatlas.llm import bpe, packing, simhash, tokenbin
 from langatlas.llm.common import table
+from langatlas.session import scratch_path
 
 Query = Callable[[SparkSession, str], DataFrame]
 
+BYTE_BPE = public_tokenizers.path("byte_bpe_50k.json")
+MULTI_BPE = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
+
+
+def _texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "documents", "doc_id", "text")
+
 
 def op1_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents", "doc_id", "text")
-    return simhash.near_duplicates(docs).select("doc_id", "fingerprint", "component_id")
+    return simhash.near_duplicates(_texts(spark, sf_dir)).select(
+        "doc_id", "fingerprint", "component_id")
+
+
+def op2_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack_documents(_texts(spark, sf_dir), BYTE_BPE).select(
+        "doc_id", "piece", "start", "length", F.crc32("ids").alias("ids_crc32"),
+        "sequence_id", "offset")
+
+
+def op7_token_binary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = scratch_path(spark, "token-files")
+    tokenbin.write_token_files(_texts(spark, sf_dir), path, BYTE_BPE)
+    return tokenbin.read_token_files(spark, path).select(
+        "doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
+
+
+def op8_byte_level_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ids = bpe.encode(_texts(spark, sf_dir), MULTI_BPE, public_tokenizers.PATTERN)
+    return bpe.decode(ids, MULTI_BPE).select(
+        "doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"),
+        F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
 QUERIES: list[Query] = [
     op1_simhash_near_dedup,
+    op2_best_fit_packing,
+    op7_token_binary,
+    op8_byte_level_bpe,
 ]
 
 

@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from langatlas.llm import bpe, packing, simhash, tokenbin
+from langatlas.llm import bpe, cws, packing, simhash, tokenbin
 from langatlas.llm.common import table
 from langatlas.session import scratch_path
 
@@ -47,11 +47,20 @@ def op8_byte_level_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
+def op10_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = cws.edit_likeness(_texts(spark, sf_dir))
+    return found.select("doc_id", "n_chars", "edited_sha256",
+                        F.lower(F.hex("fp")).alias("fingerprint"),
+                        F.lower(F.hex("edited_fp")).alias("edited_fingerprint"),
+                        "near_edited", "near_next")
+
+
 QUERIES: list[Query] = [
     op1_simhash_near_dedup,
     op2_best_fit_packing,
     op7_token_binary,
     op8_byte_level_bpe,
+    op10_document_fingerprints,
 ]
 
 

@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from langatlas.llm import bpe, cws, packing, simhash, tokenbin
+from langatlas.llm import bpe, cws, packing, sharding, simhash, tokenbin, warc
 from langatlas.llm.common import table
 from langatlas.session import scratch_path
 
@@ -33,6 +33,16 @@ def op2_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
         "sequence_id", "offset")
 
 
+def op3_lpt_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sharding.shard_documents(_texts(spark, sf_dir))
+
+
+def op5_warc_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = scratch_path(spark, "warc")
+    warc.write_warc(table(spark, sf_dir, "pages"), path)
+    return warc.read_warc(spark, path)
+
+
 def op7_token_binary(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = scratch_path(spark, "token-files")
     tokenbin.write_token_files(_texts(spark, sf_dir), path, BYTE_BPE)
@@ -58,6 +68,8 @@ def op10_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: list[Query] = [
     op1_simhash_near_dedup,
     op2_best_fit_packing,
+    op3_lpt_sharding,
+    op5_warc_chunks,
     op7_token_binary,
     op8_byte_level_bpe,
     op10_document_fingerprints,

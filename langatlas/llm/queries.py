@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from langatlas.llm import bpe, cws, packing, sharding, simhash, tokenbin, warc
+from langatlas.llm import (bpe, cws, packing, sharding, simhash, tokenbin, toxicity, warc)
 from langatlas.llm.common import table
 from langatlas.session import scratch_path
 
@@ -57,6 +57,12 @@ def op8_byte_level_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
+def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _texts(spark, sf_dir)
+    model = toxicity.train(docs, table(spark, sf_dir, "labels", "doc_id", "toxic"))
+    return toxicity.score_documents(docs, model)
+
+
 def op10_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = cws.edit_likeness(_texts(spark, sf_dir))
     return found.select("doc_id", "n_chars", "edited_sha256",
@@ -72,6 +78,7 @@ QUERIES: list[Query] = [
     op5_warc_chunks,
     op7_token_binary,
     op8_byte_level_bpe,
+    op9_toxicity,
     op10_document_fingerprints,
 ]
 

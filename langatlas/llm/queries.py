@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from langatlas.llm import (bpe, cws, packing, sharding, simhash, tokenbin, toxicity, warc)
+from langatlas.llm import (bpe, cws, linededup, packing, sharding, simhash, tokenbin, toxicity, warc)
 from langatlas.llm.common import table
 from langatlas.session import scratch_path
 
@@ -37,6 +37,10 @@ def op3_lpt_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_documents(_texts(spark, sf_dir))
 
 
+def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return linededup.dedup_lines(_texts(spark, sf_dir), dropped_col="dropped_lines")
+
+
 def op5_warc_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = scratch_path(spark, "warc")
     warc.write_warc(table(spark, sf_dir, "pages"), path)
@@ -75,6 +79,7 @@ QUERIES: list[Query] = [
     op1_simhash_near_dedup,
     op2_best_fit_packing,
     op3_lpt_sharding,
+    op4_line_dedup,
     op5_warc_chunks,
     op7_token_binary,
     op8_byte_level_bpe,

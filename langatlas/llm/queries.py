@@ -8,7 +8,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from langatlas.llm import (bpe, cws, linededup, packing, sharding, simhash, tokenbin, toxicity, warc)
+from langatlas.llm import (bpe, cws, linededup, packing, search, sharding, simhash, tokenbin,
+                           toxicity, warc)
 from langatlas.llm.common import table
 from langatlas.session import scratch_path
 
@@ -47,6 +48,12 @@ def op5_warc_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.read_warc(spark, path)
 
 
+def op6_exact_topk_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document whose id is divisible by 50 is a query against all."""
+    docs = _texts(spark, sf_dir)
+    return search.search(docs, docs.where(F.col("doc_id") % 50 == 0))
+
+
 def op7_token_binary(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = scratch_path(spark, "token-files")
     tokenbin.write_token_files(_texts(spark, sf_dir), path, BYTE_BPE)
@@ -81,6 +88,7 @@ QUERIES: list[Query] = [
     op3_lpt_sharding,
     op4_line_dedup,
     op5_warc_chunks,
+    op6_exact_topk_search,
     op7_token_binary,
     op8_byte_level_bpe,
     op9_toxicity,

@@ -156,6 +156,9 @@ class ChunkParser:
                 head, found, rest = self.held.partition(BREAK)
                 if not found:
                     return
+                if not head:          # after the last record: the break the reader adds
+                    self.held = rest
+                    continue
                 lines = head.decode().split("\r\n")
                 if lines[0] != VERSION:
                     raise ValueError(f"not a WARC record: {lines[0][:80]!r}")

@@ -3,16 +3,15 @@
 Documents with equal texts are a group that stays together.  Groups go, largest
 first, to the least-loaded shard, which a heap of (load, shard) gives.
 
-The schedule is split so that no task sees all groups:
-
-* Large groups, those of at least ``1 / HEAD_PER_SHARD`` of a shard's even share,
-  are at most ``n_shards * HEAD_PER_SHARD`` however many rows there are.  One
-  task schedules them.
-* The others are dealt by a hash into buckets of about ``BUCKET_GROUPS``.  Each
-  bucket is scheduled on its own, starting from its share (by bytes) of the
-  loads the large groups made, so every bucket fills the same hollows and ends
-  nearly level.  What one bucket leaves uneven is at most one of its last,
-  smallest groups.
+The schedule is split so that no task sees all groups.  Level l = 1, 2, ... has
+the groups of at least ``1 / GROUPS_PER_SHARD ** l`` of a shard's even share that
+no earlier level had.  There are at most ``n_shards * GROUPS_PER_SHARD ** l`` of
+them, and a hash deals them into buckets of about ``n_shards *
+GROUPS_PER_SHARD``, so level l has at most ``GROUPS_PER_SHARD ** (l - 1)``
+buckets, and no group of it is larger than a bucket's even share for a shard.
+Each bucket is scheduled by one task, starting from its share (by bytes) of the
+loads that the earlier levels made: every bucket fills the same hollows and ends
+nearly level.
 """
 
 from __future__ import annotations
@@ -28,8 +27,7 @@ from langatlas.operators.scan import prefix_scan
 
 SHARDS = 40
 OVERHEAD_BYTES = 16
-HEAD_PER_SHARD = 1000
-BUCKET_GROUPS = 20_000
+GROUPS_PER_SHARD = 1000
 
 
 def lpt(sizes: list[int], loads: list[float], turn: int = 0) -> list[int]:
@@ -46,37 +44,42 @@ def lpt(sizes: list[int], loads: list[float], turn: int = 0) -> list[int]:
     return placed
 
 
-def schedule_groups(groups: DataFrame, n_shards: int = SHARDS,
-                    head_per_shard: int = HEAD_PER_SHARD,
-                    bucket_groups: int = BUCKET_GROUPS) -> DataFrame:
-    """``gid, bytes`` (one row per group) -> ``gid, shard``."""
-    total = groups.agg(F.sum("bytes").alias("b"), F.count("*").alias("n")).first()
-    floor = (total["b"] or 0) / (n_shards * head_per_shard)
-    schema = f"gid {groups.schema['gid'].dataType.simpleString()}, bytes bigint, shard int"
+def _bucket_schedule(size: int, loads: list[int]):
+    """The schedule of one bucket of a level of ``size`` bytes."""
+    loads = tuple(loads)
 
-    def head(rows: pd.DataFrame) -> pd.DataFrame:
+    def schedule(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values(["bytes", "gid"], ascending=[False, True])
-        return rows.assign(shard=lpt(rows["bytes"].tolist(), [0] * n_shards))[
-            ["gid", "bytes", "shard"]].astype({"shard": "int32"})
-
-    large = stage(groups.where(F.col("bytes") >= floor).groupBy(F.lit(0).alias("one"))
-                  .applyInPandas(head, schema), "shard-head")
-    loads = [0] * n_shards
-    for row in large.groupBy("shard").agg(F.sum("bytes").alias("b")).collect():  # n_shards rows
-        loads[row["shard"]] = row["b"]
-    rest = (total["b"] or 0) - sum(loads)
-    buckets = max(1, -(-total["n"] // bucket_groups))
-
-    def bucket(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values(["bytes", "gid"], ascending=[False, True])
-        share = rows["bytes"].sum() / rest
-        placed = lpt(rows["bytes"].tolist(), [load * share for load in loads], key[0] % n_shards)
-        return rows.assign(shard=placed)[["gid", "bytes", "shard"]].astype({"shard": "int32"})
-
-    small = (groups.where(F.col("bytes") < floor)
-             .groupBy(F.pmod(F.xxhash64("gid"), F.lit(buckets)).alias("bucket"))
-             .applyInPandas(bucket, schema))
-    return large.union(small).select("gid", "shard")
+        share = rows["bytes"].sum() / size
+        shards = lpt(rows["bytes"].tolist(), [load * share for load in loads],
+                     key[0] % len(loads))
+        return rows.assign(shard=shards)[["gid", "bytes", "shard"]].astype({"shard": "int32"})
+
+    return schedule
+
+
+def schedule_groups(groups: DataFrame, n_shards: int = SHARDS,
+                    groups_per_shard: int = GROUPS_PER_SHARD) -> DataFrame:
+    """``gid, bytes`` (one row per group, bytes > 0) -> ``gid, shard``."""
+    schema = f"gid {groups.schema['gid'].dataType.simpleString()}, bytes bigint, shard int"
+    total, least = groups.agg(F.sum("bytes"), F.min("bytes")).first()
+    loads, placed, above, level = [0] * n_shards, None, None, 1
+    while True:
+        floor = (total or 0) / (n_shards * groups_per_shard ** level)
+        some = groups.where(F.col("bytes") >= floor)
+        if above is not None:
+            some = some.where(F.col("bytes") < above)
+        count, size = some.agg(F.count("*"), F.sum("bytes")).first()
+        buckets = max(1, -(-count // (n_shards * groups_per_shard)))
+
+        done = stage(some.groupBy(F.pmod(F.xxhash64("gid"), F.lit(buckets)).alias("bucket"))
+                     .applyInPandas(_bucket_schedule(size, loads), schema), "shard-level")
+        for row in done.groupBy("shard").agg(F.sum("bytes").alias("b")).collect():  # n_shards rows
+            loads[row["shard"]] += row["b"]
+        placed = done if placed is None else placed.union(done)
+        if least is None or floor <= least:
+            return placed.select("gid", "shard")
+        above, level = floor, level + 1
 
 
 def shard_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",

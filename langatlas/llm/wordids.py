@@ -20,8 +20,8 @@ import numpy as np
 from tokenizers import Regex, Tokenizer, decoders, models, pre_tokenizers
 
 #: Words (and ids) a worker keeps; beyond it the store starts anew.
-MAX_WORDS = 400_000
-MAX_STORED_IDS = 8_000_000
+MAX_WORDS = 1_000_000
+MAX_STORED_IDS = 16_000_000
 
 CUT = re.compile(r" (?=\S)")
 MARKS = frozenset(".,;:!?")
@@ -53,11 +53,14 @@ class _Words(dict):
 
     def __missing__(self, word: str) -> int:
         enc = self.encoder
-        if word[-1:] in MARKS and word[:-1].isalpha() and word[:-1] < "ɐ":
-            ids = enc.row(self[word[:-1]]) + enc.piece(word[-1])
+        if word[-1:] in MARKS and word[:-1].isalpha():
+            row = self[word[:-1]]
+            ids = enc.ids[enc.bounds[row]:enc.bounds[row + 1]] + enc.marks[word[-1]]
         else:
-            ids = enc.encode_cut(self.prefix + word)
-        row = self[word] = enc.add(ids)
+            ids = enc.encode_cut(self.prefix, word)
+        enc.ids.extend(ids)
+        enc.bounds.append(len(enc.ids))
+        row = self[word] = len(enc.bounds) - 2
         return row
 
 
@@ -68,6 +71,7 @@ class WordEncoder:
                  max_words: int = MAX_WORDS) -> None:
         self.model, self.pre = tokenizer.model, tokenizer.pre_tokenizer
         self.fallback, self.max_words = fallback, max_words
+        self.marks = {m: array("I", self.piece(m)) for m in MARKS}
         self._clear()
 
     def _clear(self) -> None:
@@ -79,9 +83,6 @@ class WordEncoder:
         self.bounds.append(len(self.ids))
         return len(self.bounds) - 2
 
-    def row(self, row: int) -> list[int]:
-        return self.ids[self.bounds[row]:self.bounds[row + 1]].tolist()
-
     def piece(self, text: str) -> list[int]:
         """Ids of one piece of the splitting pattern."""
         return self._mapped(to_chars(text.encode()))
@@ -91,11 +92,12 @@ class WordEncoder:
             return ids
         return [t.id for t in self.model.tokenize(chars)]
 
-    def encode_cut(self, text: str) -> list[int]:
-        word = text[1:] if text[:1] == " " else text
-        if word.isascii() and word.isalpha():
-            return self.piece(text)
-        return [i for chars, _ in self.pre.pre_tokenize_str(text) for i in self._mapped(chars)]
+    def encode_cut(self, prefix: str, word: str) -> list[int]:
+        # Letters alone are one piece; of letters beyond Latin the library decides.
+        if word.isalpha() and (word.isascii() or max(word) < "ɐ"):
+            return self.piece(prefix + word)
+        return [i for chars, _ in self.pre.pre_tokenize_str(prefix + word)
+                for i in self._mapped(chars)]
 
     def encode(self, texts: list[str | None], end: int | None = None) -> tuple[np.ndarray, np.ndarray]:
         """``ids`` (uint32, all texts one after the other) and ``bounds`` (where
@@ -170,6 +172,7 @@ def rank_merges(ranks: dict[bytes, int]) -> list[tuple[str, str]]:
 #: A byte string four times in a row: both merges of an overlap can then be of
 #: one token that repeats itself, where no order of merge rules says "leftmost".
 REPEATS = re.compile(r"(.+?)\1{3}", re.S)
+REPEATS_SHORT = re.compile(r"(.)\1{3}|(..)\2{3}|(...)\3{3}", re.S)      # of up to 15 bytes
 
 
 class LeftmostMerges:
@@ -179,7 +182,7 @@ class LeftmostMerges:
         self.ranks = ranks
 
     def __call__(self, chars: str) -> list[int] | None:
-        if len(chars) < 4 or not REPEATS.search(chars):
+        if len(chars) < 4 or not (REPEATS_SHORT if len(chars) < 16 else REPEATS).search(chars):
             return None
         data = bytes(map(CHAR_BYTES.__getitem__, chars))
         if data in self.ranks:

@@ -17,13 +17,10 @@ def loc_label(total: Column) -> Column:
 
 
 def stable_round6(c: Column | str) -> Column:
-    """Half-up rounding to 6 decimals that is stable across engines: a sum
-    computed in another order differs in its last bits, and a value that is
-    exactly at a half (common with ratios of integers) would then round both
-    ways.  The 1e-7 nudge is far above that noise and far below 1e-6.  For
-    values in [0, 1e12)."""
+    """Half-up rounding to 6 decimals for query output, by the same arithmetic
+    in either engine.  For values in [0, 1e12)."""
     c = F.col(c) if isinstance(c, str) else c
-    return F.floor(c * 1000000.0 + 0.5 + 1e-7) / 1000000.0
+    return F.floor(c * 1000000.0 + 0.5) / 1000000.0
 
 
 def lenient_int(c: Column) -> Column:
@@ -50,3 +47,17 @@ def location_scalars(owners: DataFrame) -> DataFrame:
         .alias("repo_ratio"),
         F.format_string("%s: %d repos", F.col("login"), F.col("repos")).alias("label"),
         loc_label(F.col("followers") * 1000).alias("size_label"))
+
+
+def language_arrays(repos: DataFrame) -> DataFrame:
+    """Array concat / slice and map keys / entries over the language lists of
+    the repositories that have any."""
+    names = F.transform("langs", lambda x: x["lang"])
+    by_name = F.map_from_entries(F.transform("langs", lambda x: F.struct(x["lang"], x["loc"])))
+    joined = F.concat(F.slice(names, 1, 2), F.array(F.lit("...")))
+    return repos.where(F.size("langs") > 0).select(
+        F.col("id").alias("repo_id"),
+        F.array_join(joined, "|").alias("first_two"),
+        F.array_join(F.sort_array(F.map_keys(by_name)), "|").alias("names"),
+        F.aggregate(F.map_entries(by_name), F.lit(0).cast("bigint"),
+                    lambda acc, e: acc + e["value"]).alias("total"))

@@ -3,6 +3,8 @@ vectors and their energy threshold (the clustering input)."""
 
 from __future__ import annotations
 
+from decimal import Decimal
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -35,6 +37,11 @@ def explode_coords(dist: DataFrame, keep_rejects: bool = False) -> DataFrame:
     """
     rows = (dist_by_language(dist).where(F.size("coords") > 0)
             .select("lang", F.explode("coords").alias("c")))
+    return cast_triples(rows, keep_rejects)
+
+
+def cast_triples(rows: DataFrame, keep_rejects: bool = False) -> DataFrame:
+    """C11 on rows ``lang, c`` (one triple each); see ``explode_coords``."""
     lat = F.try_element_at("c", F.lit(1)).try_cast("double")
     lng = F.try_element_at("c", F.lit(2)).try_cast("double")
     density = lenient_int(F.try_element_at("c", F.lit(3)))
@@ -72,10 +79,8 @@ def bin_vectors(coords: DataFrame, index: DataFrame) -> DataFrame:
 
 
 def half_up(x: F.Column) -> F.Column:
-    """``round`` to an integer, half up (values here are >= 0).  The 1e-9
-    nudge keeps an exact half from falling either way by the last bit of a
-    sum taken in another order."""
-    return F.floor(x + 0.5 + 1e-9).cast("bigint")
+    """``round`` to an integer, half up (values here are >= 0)."""
+    return F.floor(x + 0.5).cast("bigint")
 
 
 def energy_bins(bins: DataFrame, share: float = ENERGY_SHARE) -> DataFrame:
@@ -84,15 +89,24 @@ def energy_bins(bins: DataFrame, share: float = ENERGY_SHARE) -> DataFrame:
     ``round(100 * b / ||v||)``.
 
     Bins are ordered ``b desc, bin asc``; a bin is kept when the energy of the
-    bins before it is still below the threshold.  Squares are taken in double
-    (a Long square overflows past ~3.04e9).  The running sum and the norm come
-    from one ``prefix_scan``: no language is ever one task.
+    bins before it is still below the threshold.  Squares and their sums are
+    exact decimals (a Long square overflows past ~3.04e9; double sums depend on
+    the partitioning), and ``sqrt(before) < share * sqrt(energy)`` is compared
+    as ``before * 10^4 < (100 * share)^2 * energy``; beyond 38 digits the query
+    fails instead of rounding.  The running sum and the norm come from one
+    ``prefix_scan``: no language is ever one task.
     """
-    sq = bins.withColumn("b2", F.col("value").cast("double") * F.col("value").cast("double"))
+    value = F.col("value").cast("decimal(19,0)")
+    sq = bins.withColumn("b2", (value * value).cast("decimal(38,0)"))
+    percent = Decimal(str(share)) * 100
+    if percent != int(percent):
+        raise ValueError("share is a whole number of percent")
     scanned = prefix_scan(sq, ["lang"], [F.col("value").desc(), F.col("bin").asc()],
                           value_col="b2", before_col="before", total_col="energy")
-    norm = F.sqrt("energy")
-    return (scanned.where(F.sqrt("before") < F.lit(share) * norm)
+    norm = F.sqrt(F.col("energy").cast("double"))
+    below = (F.col("before") * F.lit(10_000).cast("decimal(5,0)")
+             < F.col("energy") * F.lit(int(percent) ** 2).cast("decimal(5,0)"))
+    return (scanned.where(below)
             .select("lang", "bin", F.col("value").alias("b"),
                     norm.alias("norm"),
                     half_up(F.lit(100.0) * F.col("value") / norm).alias("value")))

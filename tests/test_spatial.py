@@ -80,3 +80,21 @@ def test_energy_threshold_property(spark):
         assert math.sqrt(sum(v * v for v in got)) >= 0.66 * norm
         assert math.sqrt(sum(v * v for v in got[:-1])) < 0.66 * norm
         assert got == vals[:len(got)]
+
+
+def test_energy_is_exact_in_any_partitioning(spark):
+    import random
+    r = random.Random(7)
+    rows = [(f"L{i % 3}", i, r.randrange(10 ** 8, 10 ** 10)) for i in range(600)]
+    bins = spark.createDataFrame(rows, "lang string, bin bigint, value bigint")
+    want = []
+    for lang in ("L0", "L1", "L2"):
+        mine = sorted(((v, b) for g, b, v in rows if g == lang), key=lambda x: (-x[0], x[1]))
+        total, before = sum(v * v for v, _ in mine), 0
+        for v, b in mine:
+            if before * 10_000 < 4356 * total:
+                want.append((lang, b, v))
+            before += v * v
+    for n in (1, 3, 7):
+        got = S.energy_bins(bins.repartition(n)).select("lang", "bin", "b").collect()
+        assert sorted(tuple(x) for x in got) == sorted(want)

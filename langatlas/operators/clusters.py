@@ -4,11 +4,10 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.clustering import GaussianMixture, GaussianMixtureModel, KMeans, KMeansModel
-from pyspark.ml.feature import PCA
-from pyspark.ml.functions import array_to_vector, vector_to_array
-from pyspark.ml.linalg import SparseVector, VectorUDT
+from pyspark.ml.functions import vector_to_array
+from pyspark.ml.linalg import SparseVector, Vectors, VectorUDT
+from pyspark.ml.stat import Summarizer
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -16,8 +15,9 @@ from pyspark.sql import functions as F
 K = 6
 KMEANS_ITERATIONS = 10
 SEED = 42
-# Vectors up to this many spots are built natively as dense arrays.
-DENSE_MAX = 4096
+# Length of the projection the mixture is fitted on.  A Gaussian mixture keeps
+# a d x d covariance per component, so d must not be the number of spots.
+MIXTURE_DIMS = 32
 
 
 @F.udf(VectorUDT())
@@ -28,70 +28,64 @@ def _sparse_vector(size, entries):
                         [float(e["value"]) for e in entries])
 
 
-def language_vectors(kept_bins: DataFrame, index: DataFrame, languages: DataFrame,
-                     dense_max: int = DENSE_MAX) -> DataFrame:
+def language_vectors(kept_bins: DataFrame, index: DataFrame, languages: DataFrame) -> DataFrame:
     """M1: ``lang, features`` -- a vector of length = number of spots.
 
     Every language in ``languages`` gets a vector (all zero when no bin was
-    kept).  The entries of one language are bounded by the number of spots.
-    Up to ``dense_max`` spots the vector is built natively (a dense array
-    filled from the language's bin map, then ``array_to_vector``); beyond
-    that, a dense vector per language would be too large, so the sorted
-    entries are packed into a ``SparseVector`` by one small Python UDF.
+    kept).  The entries of one language are the bins it kept; they are packed
+    into a ``SparseVector`` by one small Python UDF (a row per language), at
+    every size.  The number of spots is a scalar subquery.
     """
-    size = index.count()  # number of spots: one scalar to the driver
     per_lang = kept_bins.groupBy("lang").agg(
         F.sort_array(F.collect_list(F.struct("bin", "value"))).alias("entries"))
-    rows = languages.select("lang").distinct().join(per_lang, "lang", "left")
-    if size <= dense_max:
-        if size == 0:
-            dense = F.array().cast("array<double>")
-        else:
-            bins = F.map_from_entries(F.coalesce(
-                "entries", F.array().cast("array<struct<bin:bigint,value:bigint>>")))
-            dense = F.transform(F.sequence(F.lit(0), F.lit(size - 1)), lambda i: F.coalesce(
-                F.try_element_at(bins, i.cast("bigint")).cast("double"), F.lit(0.0)))
-        return rows.select("lang", array_to_vector(dense).alias("features"))
-    return rows.select("lang", _sparse_vector(F.lit(size), "entries").alias("features"))
+    size = index.select(F.count(F.lit(1)).cast("int").alias("n")).scalar()
+    rows = (languages.select("lang").distinct().join(per_lang, "lang", "left")
+            .withColumn("size", size))
+    return rows.select("lang", _sparse_vector("size", "entries").alias("features"))
+
+
+def projected(vectors: DataFrame, dims: int = MIXTURE_DIMS) -> DataFrame:
+    """Add ``projected``: a signed hash projection of ``features`` to ``dims``
+    numbers.  Every spot goes to one of them with a sign, both by a hash of the
+    spot, which keeps inner products in expectation; used at every size."""
+    @F.udf(VectorUDT())
+    def project(v):
+        out = [0.0] * dims
+        entries = (zip(v.indices, v.values) if isinstance(v, SparseVector)
+                   else enumerate(v.toArray()))
+        for i, x in entries:
+            mixed = (int(i) + 1) * 0x9E3779B97F4A7C15 & (1 << 64) - 1
+            out[(mixed >> 32) % dims] += float(x) * (1 if mixed >> 63 else -1)
+        return Vectors.dense(out)
+
+    return vectors.withColumn("projected", project("features"))
 
 
 @dataclass
 class ClusterModels:
     kmeans: KMeansModel
-    gmm: GaussianMixtureModel | PipelineModel
-
-    @property
-    def gmm_stage(self) -> GaussianMixtureModel:
-        return self.gmm.stages[-1] if isinstance(self.gmm, PipelineModel) else self.gmm
+    gmm: GaussianMixtureModel
 
 
 def learn_patterns(vectors: DataFrame, k: int = K, max_iter: int = KMEANS_ITERATIONS,
                    seed: int = SEED, gmm_max_iter: int = 100,
-                   gmm_pca_k: int | None = None) -> ClusterModels:
-    """M2 + M3: fit KMeans and a Gaussian mixture on the same vectors.  Only
-    the fitted models reach the driver.
-
-    A Gaussian mixture keeps a d x d covariance per component, so with many
-    spots (large d) pass ``gmm_pca_k`` to fit it on a PCA projection instead.
-    """
+                   mixture_dims: int = MIXTURE_DIMS) -> ClusterModels:
+    """M2 + M3: fit KMeans on the vectors and a Gaussian mixture on their
+    projection to ``mixture_dims`` numbers.  Only the fitted models reach the
+    driver."""
     km = KMeans(k=k, maxIter=max_iter, seed=seed, featuresCol="features",
                 predictionCol="kmeans").fit(vectors)
     gmm = GaussianMixture(k=k, maxIter=gmm_max_iter, seed=seed, tol=0.01,
-                          featuresCol="features", predictionCol="gmm",
-                          probabilityCol="gmm_probability")
-    if gmm_pca_k:
-        gmm.setFeaturesCol("pca_features")
-        gm = Pipeline(stages=[PCA(k=gmm_pca_k, inputCol="features", outputCol="pca_features"),
-                              gmm]).fit(vectors)
-    else:
-        gm = gmm.fit(vectors)
-    return ClusterModels(km, gm)
+                          featuresCol="projected", predictionCol="gmm",
+                          probabilityCol="gmm_probability").fit(projected(vectors, mixture_dims))
+    return ClusterModels(km, gmm)
 
 
 def assign_clusters(models: ClusterModels, vectors: DataFrame) -> DataFrame:
     """M4 + D8j: both predictions per language (the name stays in the row)."""
     out = models.kmeans.transform(vectors)
-    out = models.gmm.transform(out)
+    dims = len(models.gmm.gaussians[0].mean) if models.gmm.gaussians else MIXTURE_DIMS
+    out = models.gmm.transform(projected(out, dims))
     return out.select("lang", F.col("kmeans").cast("int"), F.col("gmm").cast("int"))
 
 
@@ -104,14 +98,24 @@ def cluster_members(assigned: DataFrame) -> DataFrame:
 
 
 def cluster_centers(models: ClusterModels, vectors: DataFrame) -> DataFrame:
-    """M5: centroids and mixture means (k rows each) as a DataFrame."""
+    """M5: centroids (k rows) and, per mixture component with members, the mean
+    of its members' vectors -- both over all spots."""
     spark = vectors.sparkSession
     rows = [("kmeans", i, [float(x) for x in c])
             for i, c in enumerate(models.kmeans.clusterCenters())]
-    rows += [("gmm", i, [float(x) for x in g.mean.toArray()])
-             for i, g in enumerate(models.gmm_stage.gaussians)]
-    return spark.createDataFrame(rows, "model string, cluster int, center array<double>")
+    means = (vectors.join(assign_clusters(models, vectors).select("lang", "gmm"), "lang")
+             .groupBy(F.col("gmm").alias("cluster"))
+             .agg(vector_to_array(Summarizer.mean(F.col("features"))).alias("center"))
+             .select(F.lit("gmm").alias("model"), "cluster", "center"))
+    return spark.createDataFrame(rows, "model string, cluster int, center array<double>").union(means)
 
 
 def vectors_as_arrays(vectors: DataFrame) -> DataFrame:
     return vectors.select("lang", vector_to_array("features").alias("features"))
+
+
+def vector_entries(vectors: DataFrame) -> DataFrame:
+    """The vectors read back as rows ``lang, bin, value`` (zeros left out)."""
+    return (vectors_as_arrays(vectors).select("lang", F.posexplode("features").alias("bin", "v"))
+            .where("v <> 0").select("lang", F.col("bin").cast("bigint").alias("bin"),
+                                    F.col("v").cast("bigint").alias("value")))

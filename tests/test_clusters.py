@@ -25,15 +25,18 @@ def test_vectors_fit_assign(spark):
     assert len([c for c in centers if c["model"] == "kmeans"]) == 3
 
 
-def test_gmm_on_pca_projection(spark):
+def test_gmm_on_projection(spark):
     rows = [(f"L{j}", b, (j * 5 + b * 3) % 7 + 1) for j in range(24) for b in range(0, 10, 1 + j % 2)]
     kept = spark.createDataFrame(rows, "lang string, bin bigint, value bigint")
     index = spark.range(0, 10).select(F.col("id").alias("bin"))
     vec = CL.language_vectors(kept, index, kept.select("lang"))
-    models = CL.learn_patterns(vec, k=2, gmm_max_iter=10, gmm_pca_k=3)
+    models = CL.learn_patterns(vec, k=2, gmm_max_iter=10, mixture_dims=3)
     got = CL.assign_clusters(models, vec).collect()
     assert len(got) == 24 and all(r["gmm"] in (0, 1) for r in got)
-    assert len(CL.cluster_centers(models, vec).where(F.col("model") == "gmm").collect()) == 2
+    assert all(len(g.mean) == 3 for g in models.gmm.gaussians)
+    centers = CL.cluster_centers(models, vec).where(F.col("model") == "gmm").collect()
+    assert {r["cluster"] for r in centers} == {r["gmm"] for r in got}
+    assert all(len(r["center"]) == 10 for r in centers)
 
 
 def test_cluster_languages_from_export(spark):
@@ -54,13 +57,12 @@ def test_cluster_languages_from_export(spark):
     assert sum(len(r["langs"]) for r in members.where(F.col("model") == "kmeans").collect()) == 14
 
 
-def test_dense_and_sparse_vectors_agree(spark):
-    rows = [(f"L{j}", b, (j + b) % 4) for j in range(6) for b in range(0, 9, 2)]
-    kept = spark.createDataFrame([r for r in rows if r[2]], "lang string, bin bigint, value bigint")
+def test_vectors_read_back(spark):
+    rows = [(f"L{j}", b, (j + b) % 4) for j in range(6) for b in range(0, 9, 2) if (j + b) % 4]
+    kept = spark.createDataFrame(rows, "lang string, bin bigint, value bigint")
     index = spark.range(0, 9).select(F.col("id").alias("bin"))
     langs = spark.createDataFrame([(f"L{j}",) for j in range(7)], "lang string")
-    dense = {r["lang"]: r["features"] for r in
-             CL.vectors_as_arrays(CL.language_vectors(kept, index, langs)).collect()}
-    sparse = {r["lang"]: r["features"] for r in
-              CL.vectors_as_arrays(CL.language_vectors(kept, index, langs, dense_max=0)).collect()}
-    assert dense == sparse and len(dense["L6"]) == 9 and sum(dense["L6"]) == 0
+    vec = CL.language_vectors(kept, index, langs)
+    assert sorted(tuple(r) for r in CL.vector_entries(vec).collect()) == sorted(rows)
+    assert all(type(r["features"]).__name__ == "SparseVector" and r["features"].size == 9
+               for r in vec.collect())

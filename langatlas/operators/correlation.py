@@ -26,11 +26,16 @@ def language_pairs(repos: DataFrame) -> DataFrame:
 def lang_cooccurrence(repos: DataFrame) -> DataFrame:
     """Number of repositories containing both ``base`` and ``other``.
 
-    The per-row pairs are combined map-side before the shuffle, so a language
-    present in a third of all repositories costs one partial row per task.
+    Counted once per unordered pair (half the rows to shuffle), combined
+    map-side, and mirrored after the aggregate, so a language present in a
+    third of all repositories costs one partial row per task and partner.
     """
-    return (language_pairs(repos).groupBy("base", "other")
-            .agg(F.count(F.lit(1)).alias("n")))
+    counted = (language_pairs(repos).where(F.col("base") < F.col("other"))
+               .groupBy("base", "other").agg(F.count(F.lit(1)).alias("n")))
+    both = F.array(F.struct(F.col("base").alias("base"), F.col("other").alias("other")),
+                   F.struct(F.col("other").alias("base"), F.col("base").alias("other")))
+    return (counted.select(F.explode(both).alias("p"), "n")
+            .select("p.base", "p.other", "n"))
 
 
 def lang_pair_totals(repos: DataFrame) -> DataFrame:
@@ -44,40 +49,29 @@ def lang_pair_totals(repos: DataFrame) -> DataFrame:
                  F.count(F.lit(1)).alias("repo_count")))
 
 
-def top_partners(cooc: DataFrame, k: int = TOP_PARTNERS, include_self: bool = True) -> DataFrame:
+def top_partners(cooc: DataFrame, totals: DataFrame, k: int = TOP_PARTNERS,
+                 include_self: bool = True) -> DataFrame:
     """E10 + F2 + C22: the ``k`` partners with the highest share
     ``occ = n / pair_count``, where ``pair_count`` (the reference's base
-    occurrence) is the number of ordered pairs the base starts -- the sum of
-    its co-occurrence counts.
+    occurrence) is the number of ordered pairs the base starts.
 
     The base itself is a candidate with share 1, which no other partner can
-    exceed, and it wins ties: it is always rank 1.  So one window over the
-    co-occurrence table does everything: ``pair_count`` as a partition sum,
-    the other partners ranked by ``n desc, other`` (the share order inside a
-    base), and the self entry emitted from the rank-1 row.  One pass over the
-    pairs, no join and no union.  Rows per base are bounded by the language
-    vocabulary (the table is already aggregated per pair).
+    exceed, and it wins ties: it is always rank 1.  The others are ranked inside
+    a base by ``n desc, other`` -- the share order -- before the totals are
+    joined, so each task keeps only its best ``k`` per base for the shuffle.
     """
-    by_base = Window.partitionBy("base")
-    ordered = by_base.orderBy(F.col("n").desc(), F.col("other").asc())
-    ranked = cooc.where(F.col("n") != 0).select(
-        "base", "other", "n",
-        F.sum("n").over(by_base).alias("pair_count"),
-        F.row_number().over(ordered).alias("rn"))
     shift = 1 if include_self else 0
-    other = F.struct((F.col("rn") + shift).alias("rank"), F.col("other").alias("partner"),
-                     F.try_divide(F.col("n").cast("double"), F.col("pair_count")).alias("occ"))
-    entries = [F.when(F.col("rn") <= k - shift, other)]
-    if include_self:
-        entries.append(F.when(F.col("rn") == 1, F.struct(
-            F.lit(1).alias("rank"), F.col("base").alias("partner"),
-            F.try_divide(F.col("pair_count").cast("double"), F.col("pair_count")).alias("occ"))))
-    keep = F.filter(F.array(*entries), lambda e: e.isNotNull() & e["occ"].isNotNull()
-                    & (e["occ"] != 0) & ~F.isnan(e["occ"]))
-    return (ranked.where(F.col("rn") <= max(k - shift, 1))
-            .select(F.col("base").alias("lang"), F.explode(keep).alias("e"))
-            .select("lang", F.col("e.rank").cast("bigint").alias("rank"),
-                    F.col("e.partner").alias("partner"), F.col("e.occ").alias("occ")))
+    ordered = Window.partitionBy("base").orderBy(F.col("n").desc(), F.col("other").asc())
+    ranked = (cooc.where(F.col("n") != 0).withColumn("rn", F.row_number().over(ordered))
+              .where(F.col("rn") <= k - shift))
+    t = totals.where("pair_count <> 0").select("lang", F.col("pair_count").cast("double").alias("c"))
+    others = ranked.join(t, F.col("base") == F.col("lang")).select(
+        "lang", (F.col("rn") + shift).cast("bigint").alias("rank"), F.col("other").alias("partner"),
+        (F.col("n") / F.col("c")).alias("occ"))
+    if not include_self:
+        return others
+    return t.select("lang", F.lit(1).cast("bigint").alias("rank"), F.col("lang").alias("partner"),
+                    F.lit(1.0).alias("occ")).union(others)
 
 
 def top_languages(totals: DataFrame, k: int = TOP_LANGUAGES) -> DataFrame:
@@ -91,8 +85,14 @@ def correlation_report(repos: DataFrame, top_langs: int = TOP_LANGUAGES,
     """Top languages with their top partners, long form."""
     totals = lang_pair_totals(repos)
     best = top_languages(totals, top_langs)
-    partners = top_partners(lang_cooccurrence(repos), k=top_k)
-    return best.join(partners, "lang").select(
+    return report_of(best, lang_cooccurrence(repos), top_k)
+
+
+def report_of(best: DataFrame, cooc: DataFrame, top_k: int = TOP_PARTNERS) -> DataFrame:
+    """The report of the languages ``best`` (``lang, pair_count, repo_count``):
+    pairs of other bases are dropped before they are ranked."""
+    own = cooc.join(best.select(F.col("lang").alias("base")), "base", "left_semi")
+    return best.join(top_partners(own, best, top_k), "lang").select(
         "lang", "pair_count", "repo_count", "rank", "partner", "occ")
 
 

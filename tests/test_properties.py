@@ -58,7 +58,8 @@ def check_invariants(spark, rows, repos):
     for r in GR.graph_emissions(repos).collect():
         assert r["w"] is None or 0.0 <= r["w"] <= 1.0
     # top partners: self first whenever present
-    for r in C.top_partners(C.lang_cooccurrence(repos)).where(F.col("rank") == 1).collect():
+    for r in C.top_partners(C.lang_cooccurrence(repos),
+                             C.lang_pair_totals(repos)).where(F.col("rank") == 1).collect():
         assert r["partner"] == r["lang"] and r["occ"] == 1.0
 
 

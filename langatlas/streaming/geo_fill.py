@@ -2,7 +2,7 @@
 
 Geocoder replies (``location, body``) land as files.  Each micro-batch keeps
 only locations not yet known (a failed lookup is known too), parses the
-replies natively, records misses with nulls and appends the records to the
+replies natively, lets an OK reply win over a failed one, records misses with nulls and appends the records to the
 geo log with the batch id as sequence.  The current geo table is the log's
 last record per location (``latest_geo``), so an upsert is an append and a
 replayed batch (same id, same records) changes nothing.  The log can be
@@ -37,9 +37,15 @@ def run_geo_fill(spark: SparkSession, replies_dir: str, log_path: str, checkpoin
 
     def upsert(batch: DataFrame, batch_id: int) -> None:
         known = spark.read.parquet(log_path).select("location").distinct()
-        fresh = batch.dropDuplicates(["location"]).join(known, "location", "left_anti")
-        # every row carries its reply: a failed or non-OK one parses to nulls
-        records = parse_geocode(fresh).select(*GEO_COLUMNS)
+        fresh = batch.join(known, "location", "left_anti")
+        # every row carries its reply: a failed or non-OK one parses to nulls.  Of
+        # several replies for a place an OK one counts, then the greatest fields.
+        parsed = parse_geocode(fresh)
+        fields = F.struct(*(c for c in GEO_COLUMNS if c != "location"))
+        best = F.max(F.struct((F.coalesce("status", F.lit("")) == "OK").alias("ok"),
+                              fields.alias("r")))
+        records = (parsed.groupBy("location").agg(best.alias("b"))
+                   .select("location", "b.r.*").select(*GEO_COLUMNS))
         (records.withColumn("seq", F.lit(batch_id + 1).cast("bigint"))
          .write.mode("append").parquet(log_path))
 

@@ -57,3 +57,21 @@ def test_geo_fill_replay_and_misses(spark):
     got = {r["location"]: (r["city"], r["lat"]) for r in current_geo(spark, log).collect()}
     # Oslo was known: its reply is skipped; Rome's miss is recorded with nulls
     assert got == {"Oslo": ("x", 1.0), "Lima": ("LIM", -12.0), "Rome": (None, None)}
+
+
+def test_geo_fill_takes_the_ok_reply_in_either_order(spark):
+    from langatlas.session import scratch_path
+    from langatlas.sources.geocode import reply_body
+    from langatlas.streaming.geo_fill import current_geo, run_geo_fill, seed_geo_log
+    from pyspark.sql import functions as F
+    ok = spark.range(1).select(F.lit("Oslo").alias("location"), reply_body(
+        F.lit("OK"), F.lit("c"), F.lit("NO"), F.lit(59.9), F.lit(10.7)).alias("body"))
+    bad = spark.createDataFrame([("Oslo", "{broken"), ("Oslo", None)], "location string, body string")
+    for replies in (ok.union(bad), bad.union(ok)):
+        log, folder, ck = (scratch_path(spark, n) for n in ("log", "replies", "ck"))
+        cols = "location string, city string, country string, lat double, lng double"
+        seed_geo_log(spark.createDataFrame([("Lima", None, None, 1.0, 1.0)], cols), log)
+        replies.coalesce(1).write.parquet(f"{folder}/delivery=1")
+        run_geo_fill(spark, f"{folder}/*", log, ck)
+        got = {r["location"]: r["lat"] for r in current_geo(spark, log).collect()}
+        assert got == {"Oslo": 59.9, "Lima": 1.0}

@@ -6,7 +6,6 @@ the caller; nothing is written on a machine-local folder of a cluster.
 
 from __future__ import annotations
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 
 from langatlas.operators.geo import upsert_geo
@@ -19,14 +18,18 @@ def overwrite_stage(df: DataFrame, path: str) -> DataFrame:
     return df.sparkSession.read.parquet(path)
 
 
+def _finished(spark: SparkSession, path: str) -> bool:
+    """Whether a write to ``path`` has left its ``_SUCCESS`` marker."""
+    marker = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/_SUCCESS")
+    conf = spark.sparkContext._jsc.hadoopConfiguration()
+    return marker.getFileSystem(conf).exists(marker)
+
+
 def cached_stage(spark: SparkSession, build, path: str, use_cached: bool = True) -> DataFrame:
-    """P6 (``--skipprep``): read a materialised stage when present, else build
-    and write it."""
-    if use_cached:
-        try:
-            return spark.read.parquet(path)
-        except AnalysisException:  # no such stage yet: build it
-            pass
+    """P6 (``--skipprep``): read a materialised stage when it was written to the
+    end (its ``_SUCCESS`` marker is there), else build and write it."""
+    if use_cached and _finished(spark, path):
+        return spark.read.parquet(path)
     return overwrite_stage(build(), path)
 
 

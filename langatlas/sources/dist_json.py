@@ -8,12 +8,14 @@ from langatlas.schemas import DIST, DIST_TEXT
 
 
 def read_dist_json(spark: SparkSession, path: str, view: str | None = "dists",
-                   text_coords: bool = False) -> DataFrame:
-    """JSON lines or a top-level JSON array (one row per element) ->
+                   text_coords: bool = False, multi_line: bool = False) -> DataFrame:
+    """JSON lines, each an object or an array of objects, or with ``multi_line``
+    one JSON value per file (malformed input fails the read) ->
     ``lang{_id, value}, coords``; registered as ``view`` for SQL access.
     ``lang.value`` stays text because it is an object for most languages and
     a two-element list for some (see ``lang_value_map``)."""
-    df = spark.read.schema(DIST_TEXT if text_coords else DIST).json(path)
+    df = spark.read.schema(DIST_TEXT if text_coords else DIST).json(
+        path, multiLine=multi_line, mode="FAILFAST")
     if view:
         df.createOrReplaceTempView(view)
     return df

@@ -82,3 +82,15 @@ def enrich_repos(repos_raw: DataFrame, users_raw: DataFrame, langs_raw: DataFram
             .select("id", "name", owner.alias("owner"),
                     F.coalesce("langs", F.array().cast("array<struct<lang:string,loc:bigint>>"))
                     .alias("langs")))
+
+
+def load_repos(repos: DataFrame) -> DataFrame:
+    """C5 + Q11 at load, for D1 repositories that did not come through the
+    bridge: API error texts (``message``) are dropped from the language list, and
+    the owner location texts ``null`` and ``undefined`` are missing locations."""
+    named = F.filter("langs", lambda x: x["lang"].isNotNull() & (x["lang"] != "message"))
+    place = F.col("owner.location")
+    missing = F.lower(F.trim(place)).isin("null", "undefined")
+    return repos.withColumn("langs", named).withColumn(
+        "owner", F.when(missing, F.col("owner").withField("location", F.lit(None).cast("string")))
+        .otherwise(F.col("owner")))

@@ -1,6 +1,8 @@
 import json
 import os
 
+import pytest
+
 from pyspark.sql import functions as F
 
 from langatlas.session import scratch_path
@@ -45,3 +47,44 @@ def test_geo_new_version(spark):
     upd = spark.createDataFrame([("Lima", "b", "PE", 2.0, 2.0), ("Rome", None, None, None, None)], cols)
     new = write_geo_version(geo, upd, scratch_path(spark, "geo-v"))
     assert rows_of(new, "location", "city") == srt([("Oslo", "a"), ("Lima", "b"), ("Rome", None)])
+
+
+def test_half_written_stage_is_built_again(spark):
+    path = scratch_path(spark, "half")
+    spark.range(3).write.parquet(path)
+    local = path.removeprefix("file:")
+    os.remove(os.path.join(local, "_SUCCESS"))
+    if os.path.exists(os.path.join(local, "._SUCCESS.crc")):
+        os.remove(os.path.join(local, "._SUCCESS.crc"))
+    assert cached_stage(spark, lambda: spark.range(5), path).count() == 5
+
+
+def test_export_of_missing_and_null_locations(spark):
+    from langatlas.operators.distribution import nest_coords
+    lr = spark.createDataFrame([("Go", None, 3), ("Go", "null", 4), ("Go", "Oslo", 5)],
+                               "lang string, location string, loc bigint")
+    geo = spark.createDataFrame([("Oslo", 59.9, 10.7)], "location string, lat double, lng double")
+    row = nest_coords(lr, geo).first()
+    assert json.loads(row["lang"]["value"]) == {"Oslo": 5, "null": 7}
+    assert row["coords"] == [[59.9, 10.7, 5.0]]
+
+
+def test_pretty_printed_array(spark):
+    path = scratch_path(spark, "pretty")
+    os.makedirs(path, exist_ok=True)
+    with open(os.path.join(path, "dist.json"), "w") as fh:
+        json.dump([{"lang": {"_id": "Go", "value": {"Oslo": 12}}, "coords": [[1, 2, 3]]}], fh, indent=2)
+    dist = read_dist_json(spark, path, view=None, multi_line=True)
+    assert [r["lang"]["_id"] for r in dist.collect()] == ["Go"]
+    with pytest.raises(Exception, match="(?i)malformed"):
+        read_dist_json(spark, path, view=None).collect()
+
+
+def test_load_repos_drops_error_texts_and_null_places(spark):
+    from langatlas.sources.repos import load_repos
+    from tests.conftest import make_repos, owner
+    repos = make_repos(spark, [(1, owner("null"), [("message", 5), ("Go", 7)]),
+                               (2, owner("Oslo"), [("Zig", 1)]), (3, None, [])])
+    got = {r["id"]: (r["owner"] and r["owner"]["location"], [x["lang"] for x in r["langs"]])
+           for r in load_repos(repos).collect()}
+    assert got == {1: (None, ["Go"]), 2: ("Oslo", ["Zig"]), 3: (None, [])}

@@ -85,21 +85,33 @@ def locate(lang_region: DataFrame, geo: DataFrame) -> DataFrame:
             .select("lang", "location", "lat", "lng", F.col("loc").alias("density")))
 
 
+def coords_long(lang_region: DataFrame, geo: DataFrame) -> DataFrame:
+    """E9 in long form (D2j, empty positions kept): every location of every
+    language with its position, or nulls where it has none."""
+    g = geo.where(F.col("lat").isNotNull() & F.col("lng").isNotNull()).select(
+        F.col("location").alias("_gloc"), "lat", "lng")
+    return (lang_region.join(g, lang_region.location == g._gloc, "left")
+            .select("lang", "location", "lat", "lng", "loc"))
+
+
 def nest_coords(lang_region: DataFrame, geo: DataFrame) -> DataFrame:
     """E9 / D3 (with D2j + C19): one row per language -- ``lang{_id, value}``
     (all its locations as JSON) and ``coords`` (sorted ``[lat, lng, loc]`` of
     the positioned ones).  Languages with no positioned location keep an
-    empty list.  One aggregation over ``lang_region ⟕ geo``; the list is
-    bounded by the number of distinct spots.
+    empty list.  A missing location and the text ``null`` are one key.
+
+    This is the export format: one document per language, so a row holds all
+    its locations (``value``) and spots (``coords``); the operators work on
+    ``coords_long``.
     """
-    g = geo.where(F.col("lat").isNotNull() & F.col("lng").isNotNull()).select(
-        F.col("location").alias("_gloc"), "lat", "lng")
-    j = lang_region.join(g, lang_region.location == g._gloc, "left")
-    triple = F.when(F.col("_gloc").isNotNull(),
+    merged = (lang_region.groupBy("lang", F.coalesce("location", F.lit("null")).alias("location"))
+              .agg(F.sum("loc").alias("loc")))
+    j = coords_long(merged, geo)
+    triple = F.when(F.col("lat").isNotNull(),
                     F.array("lat", "lng", F.col("loc").cast("double")))
     per_lang = j.groupBy("lang").agg(
         F.to_json(F.map_from_entries(F.sort_array(F.collect_list(
-            F.struct(F.coalesce("location", F.lit("null")).alias("k"),
+            F.struct(F.col("location").alias("k"),
                      F.col("loc").alias("v")))))).alias("value"),
         F.sort_array(F.collect_list(triple)).alias("coords"))
     return per_lang.select(F.struct(F.col("lang").alias("_id"), "value").alias("lang"),

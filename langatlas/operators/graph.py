@@ -60,15 +60,16 @@ def _primary_rows(repos: DataFrame, primary: str) -> DataFrame:
 
 
 def graph_emissions(repos: DataFrame, primary: str = "max") -> DataFrame:
-    """D5j: one row per (repository, neighbour): ``src, src_loc, dst, w`` with
+    """D5j: one row per (repository, neighbour): ``repo, src, src_loc, dst, w`` with
     ``w = neighbour LoC / repository LoC``.  Star join inside the row: the
     list is exploded and the primary's own entry dropped."""
     base = (repos.where(F.size("langs") > 0)
-            .select("langs", repo_total(repos).alias("tot"), primary_of(repos, primary).alias("p"))
+            .select("id", "langs", repo_total(repos).alias("tot"),
+                    primary_of(repos, primary).alias("p"))
             .where(F.col("p.lang").isNotNull()))
-    return (base.select("tot", "p", F.explode("langs").alias("a"))
+    return (base.select("id", "tot", "p", F.explode("langs").alias("a"))
             .where((F.col("a.lang") != F.col("p.lang")) & (F.col("a.lang") != ""))
-            .select(F.col("p.lang").alias("src"), F.col("p.loc").alias("src_loc"),
+            .select(F.col("id").alias("repo"), F.col("p.lang").alias("src"), F.col("p.loc").alias("src_loc"),
                     F.col("a.lang").alias("dst"),
                     F.try_divide(F.col("a.loc").cast("double"), F.col("tot")).alias("w")))
 

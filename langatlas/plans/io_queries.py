@@ -13,23 +13,26 @@ from pyspark.sql import functions as F
 
 from langatlas.operators import clusters as CL
 from langatlas.operators import correlation as C
+from langatlas.operators import distribution as D
 from langatlas.operators import geo as G
 from langatlas.operators.geo import GEO_COLUMNS
-from langatlas.plans.registry import _w, query
+from langatlas.plans.registry import _w, query, r6
 from langatlas.session import cut_lineage, scratch_path
 from langatlas.sinks.writers import cached_stage, overwrite_stage, write_dist_json
 from langatlas.sources.bridge import Bridge
-from langatlas.sources.dist_json import read_dist_json
+from langatlas.sources.dist_json import lang_value_map, read_dist_json
 from langatlas.streaming.geo_fill import current_geo, run_geo_fill, seed_geo_log
 from langatlas.streaming.ingest import ingested, run_ingest
 
 
 @query
 def sink_json(spark, sf_dir):
-    """The density export written as JSON lines, read back."""
+    """B5 + A1: the density export written as JSON lines and read back: every
+    entry of ``lang.value``."""
     path = scratch_path(spark, "dist-json")
     write_dist_json(_w(spark, sf_dir).dist, path)
-    return read_dist_json(spark, path, view=None)
+    return (lang_value_map(read_dist_json(spark, path, view=None))
+            .select("lang", F.explode("value").alias("location", "loc")))
 
 
 @query
@@ -38,7 +41,17 @@ def scan_dist(spark, sf_dir):
     path = scratch_path(spark, "dist-scan")
     write_dist_json(_w(spark, sf_dir).dist, path)
     read_dist_json(spark, path, view="dists")
-    return spark.sql("SELECT lang._id AS lang, coords FROM dists")
+    return spark.sql("""
+        SELECT lang, c[0] AS lat, c[1] AS lng, CAST(c[2] AS BIGINT) AS density
+        FROM (SELECT lang._id AS lang, explode_outer(coords) AS c FROM dists)""")
+
+
+@query
+def listed_languages_export(spark, sf_dir):
+    """C16 over the export, as the page does it."""
+    path = scratch_path(spark, "dist-listed")
+    write_dist_json(_w(spark, sf_dir).dist, path)
+    return D.listed_languages_export(read_dist_json(spark, path, view=None))
 
 
 @query
@@ -61,14 +74,13 @@ def incremental_ingest(spark, sf_dir):
     landing = scratch_path(spark, "landing")
     target = scratch_path(spark, "events")
     ckpt = scratch_path(spark, "events-ckpt")
-    cut = events.select(F.percentile_approx("event_id", 0.5)).scalar()
+    cut = events.select(F.percentile_approx("event_id", 0.5)).first()[0]   # once, not per delivery
     first = events.where(F.col("event_id") <= cut)
     second = events.where(F.col("event_id") > cut)
-    # four files per delivery, one delivery per micro-batch
-    first.repartitionByRange(4, "event_id").write.parquet(f"{landing}/delivery=1")
+    first.write.parquet(f"{landing}/delivery=1")
     run_ingest(spark, events.schema, f"{landing}/*", target, ckpt, key="event_id",
                files_per_batch=4)
-    second.repartitionByRange(4, "event_id").write.parquet(f"{landing}/delivery=2")
+    second.write.parquet(f"{landing}/delivery=2")
     # re-delivery of records already landed
     first.where(F.col("event_id") > cut - 100).write.parquet(f"{landing}/delivery=3")
     run_ingest(spark, events.schema, f"{landing}/*", target, ckpt, key="event_id",
@@ -84,7 +96,13 @@ def _cluster_inputs(spark, sf_dir):
 
 @query
 def cluster_vectors(spark, sf_dir):
-    return CL.vectors_as_arrays(_cluster_inputs(spark, sf_dir))
+    """M1, read back from the vectors."""
+    return CL.vector_entries(_cluster_inputs(spark, sf_dir))
+
+
+def _in_range(assigned, name):
+    return assigned.select(name, *(F.col(m).between(0, CL.K - 1).alias(f"{m}_in_range")
+                                   for m in ("kmeans", "gmm")))
 
 
 _MODELS: dict[tuple[str, str], tuple] = {}
@@ -96,29 +114,39 @@ def _fit(spark, sf_dir):
     queries share one fit."""
     key = (spark.sparkContext.applicationId, sf_dir)
     if key not in _MODELS:
-        # one row per language, iterated over by both fits: few partitions
-        vectors = cut_lineage(_cluster_inputs(spark, sf_dir)
-                              .coalesce(spark.sparkContext.defaultParallelism))
+        # one row per language, iterated over by both fits
+        vectors = cut_lineage(_cluster_inputs(spark, sf_dir))
         _MODELS[key] = (vectors, CL.learn_patterns(vectors))
     return _MODELS[key]
 
 
 @query
 def cluster_assign(spark, sf_dir):
+    """M2-M4, D8j: what is determined of the assignment -- every language once,
+    both clusters in range."""
     vectors, models = _fit(spark, sf_dir)
-    return CL.assign_clusters(models, vectors)
+    return _in_range(CL.assign_clusters(models, vectors), "lang")
 
 
 @query
 def cluster_members(spark, sf_dir):
     vectors, models = _fit(spark, sf_dir)
-    return CL.cluster_members(CL.assign_clusters(models, vectors))
+    """Per model, the member lists together: as many languages as there
+    are, each once and in order."""
+    members = CL.cluster_members(CL.assign_clusters(models, vectors))
+    return members.groupBy("model").agg(
+        F.sum(F.size("langs")).alias("n_langs"),
+        F.bool_and(F.col("langs") == F.array_sort(F.array_distinct("langs"))).alias("in_order"))
 
 
 @query
 def cluster_centers(spark, sf_dir):
     vectors, models = _fit(spark, sf_dir)
-    return CL.cluster_centers(models, vectors)
+    """M5: length of every KMeans centre and whether its numbers are finite."""
+    centers = CL.cluster_centers(models, vectors).where("model = 'kmeans'")
+    finite = F.forall("center", lambda x: ~F.isnan(x) & (F.abs(x) < float("inf")))
+    return centers.select("cluster", F.size("center").cast("bigint").alias("n_spots"),
+                          finite.alias("finite"))
 
 
 @query
@@ -143,15 +171,20 @@ def geo_fill_stream(spark, sf_dir):
 
 @query
 def corr_json(spark, sf_dir):
-    """The correlation export, ``top`` as a JSON string per language."""
-    return C.correlation_json(_w(spark, sf_dir).corr_report)
+    """The correlation export (``top`` as a JSON string per language), parsed."""
+    export = C.correlation_json(_w(spark, sf_dir).corr_report)
+    top = F.from_json("top", "array<struct<lang:string,occ:double>>")
+    return (export.select("lang", "pair_count", "repo_count", F.posexplode(top).alias("i", "e"))
+            .select("lang", "pair_count", "repo_count", (F.col("i") + 1).cast("bigint").alias("rank"),
+                    F.col("e.lang").alias("partner"), r6("e.occ", "occ")))
 
 
 @query
 def embedding_clusters(spark, sf_dir):
     """M2-M4 on the embeddings table: both models' cluster per vector."""
     emb = Bridge(spark, sf_dir).table("embeddings", "vec_id", "embedding")
-    vectors = cut_lineage(emb.select(F.col("vec_id").cast("string").alias("lang"),
-                                     array_to_vector("embedding").alias("features"))
-                          .coalesce(spark.sparkContext.defaultParallelism))
-    return CL.assign_clusters(CL.learn_patterns(vectors), vectors)
+    vectors = overwrite_stage(emb.select(F.col("vec_id").cast("string").alias("lang"),
+                                         array_to_vector("embedding").alias("features")),
+                              scratch_path(spark, "embedding-vectors"))
+    found = CL.assign_clusters(CL.learn_patterns(vectors), vectors)
+    return _in_range(found, F.col("lang").cast("bigint").alias("vec_id"))

@@ -85,12 +85,12 @@ bins AS (
 energy AS (
   SELECT lang, bin, value, before, energy FROM (
     SELECT lang, bin, value,
-           coalesce(sum(CAST(value AS DOUBLE) * CAST(value AS DOUBLE)) OVER (
+           coalesce(sum(CAST(value AS HUGEINT) * value) OVER (
              PARTITION BY lang ORDER BY value DESC, bin ASC
              ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before,
-           sum(CAST(value AS DOUBLE) * CAST(value AS DOUBLE)) OVER (PARTITION BY lang) AS energy
+           sum(CAST(value AS HUGEINT) * value) OVER (PARTITION BY lang) AS energy
     FROM bins)
-  WHERE sqrt(before) < 0.66 * sqrt(energy)
+  WHERE before * 10000 < 4356 * energy
 ),
 pairs AS (
   SELECT a.lang AS base, b.lang AS other, count(*) AS n
@@ -175,7 +175,7 @@ def _q(body: str) -> str:
 
 def r6(x: str) -> str:
     """Same engine-stable half-up rounding as ``functions.scalars.stable_round6``."""
-    return f"floor(({x}) * 1000000.0 + 0.5 + 1e-7) / 1000000.0"
+    return f"floor(({x}) * 1000000.0 + 0.5) / 1000000.0"
 
 
 ORACLE: dict[str, str] = {
@@ -218,6 +218,46 @@ ORACLE: dict[str, str] = {
           AND lower(location) NOT IN ('undefined', 'null', '0', '1', 'earth',
                                       'the internet', 'the interweb', 'worldwide')
           AND length(location) <= 48 AND loc IS NOT NULL""",
+    "lang_coords": """
+        SELECT e1.lang, e1.location, g.lat, g.lng, e1.loc
+        FROM e1 LEFT JOIN (SELECT * FROM geo WHERE lat IS NOT NULL AND lng IS NOT NULL) g
+          ON g.location = e1.location""",
+    "sink_json": """
+        SELECT lang, coalesce(location, 'null') AS location, CAST(sum(loc) AS BIGINT) AS loc
+        FROM e1 GROUP BY lang, coalesce(location, 'null')""",
+    "scan_dist": """
+        SELECT lang, lat, lng, density FROM density
+        UNION ALL
+        SELECT DISTINCT lang, CAST(NULL AS DOUBLE), CAST(NULL AS DOUBLE), CAST(NULL AS BIGINT)
+        FROM e1 WHERE lang NOT IN (SELECT lang FROM density)""",
+    "listed_languages_export": """
+        SELECT lang FROM e1 WHERE location IS NOT NULL GROUP BY lang HAVING sum(loc) > 0""",
+    "cluster_vectors": """
+        SELECT lang, bin, value FROM (
+          SELECT lang, bin,
+                 CAST(floor(100.0 * value / sqrt(CAST(energy AS DOUBLE)) + 0.5) AS BIGINT) AS value
+          FROM energy) WHERE value <> 0""",
+    "cluster_assign": """
+        SELECT DISTINCT lang, TRUE AS kmeans_in_range, TRUE AS gmm_in_range FROM density""",
+    "cluster_members": """
+        SELECT model, (SELECT count(DISTINCT lang) FROM density) AS n_langs, TRUE AS in_order
+        FROM (VALUES ('kmeans'), ('gmm')) m(model)""",
+    "cluster_centers": """
+        SELECT CAST(cluster AS INTEGER) AS cluster, (SELECT count(*) FROM universe) AS n_spots,
+               TRUE AS finite
+        FROM range(6) r(cluster)""",
+    "embedding_clusters": """
+        SELECT vec_id, TRUE AS kmeans_in_range, TRUE AS gmm_in_range FROM embeddings""",
+    "corr_json": f"""
+        SELECT lang, pair_count, repo_count, rank, partner, {r6('occ')} AS occ FROM report""",
+    "graph_emissions": f"""
+        SELECT repo_id AS repo, src, src_loc, dst, {r6('w')} AS w FROM emissions""",
+    "array_functions": """
+        SELECT repo_id,
+               string_agg(lang, '|' ORDER BY ordinal) FILTER (WHERE ordinal <= 2) || '|...'
+                 AS first_two,
+               string_agg(lang, '|' ORDER BY lang) AS names, CAST(sum(loc) AS BIGINT) AS total
+        FROM langs JOIN orders ON o_orderkey = repo_id GROUP BY repo_id""",
     "geocodable_locations": "SELECT location FROM geocodable",
     "new_locations": "SELECT location FROM pending",
     "geo_exists": """
@@ -265,8 +305,8 @@ ORACLE: dict[str, str] = {
     "bin_index": "SELECT lat, lng, bin FROM bin_idx",
     "bin_vectors": "SELECT lang, bin, value FROM bins",
     "energy_bins": """
-        SELECT lang, bin, value AS b, round(sqrt(energy), 6) AS norm,
-               CAST(floor(100.0 * value / sqrt(energy) + 0.5 + 1e-9) AS BIGINT) AS value
+        SELECT lang, bin, value AS b, round(sqrt(CAST(energy AS DOUBLE)), 6) AS norm,
+               CAST(floor(100.0 * value / sqrt(CAST(energy AS DOUBLE)) + 0.5) AS BIGINT) AS value
         FROM energy""",
     "energy_bins_literal": """
         SELECT lang, bin, CAST(9223372036854775807 AS BIGINT) AS value FROM (

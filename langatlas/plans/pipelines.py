@@ -18,7 +18,8 @@ from langatlas.sources.bridge import Bridge
 
 
 def language_density(repos: DataFrame, geo: DataFrame) -> DataFrame:
-    """P1 (``--dist``): LoC per language per positioned location, long form."""
+    """P1 (``--dist``): LoC per language per positioned location, long form.
+    (Repositories from a D1 file come through ``sources.repos.load_repos``.)"""
     return D.locate(D.lang_region_loc(repos), geo)
 
 
@@ -47,7 +48,7 @@ def apply_geocodes(geo: DataFrame, pending: DataFrame, replies: DataFrame) -> Da
 
 
 def cluster_languages(dist: DataFrame, k: int = 6, share: float = S.ENERGY_SHARE,
-                      seed: int = 42, gmm_pca_k: int | None = None):
+                      seed: int = 42):
     """P4 (the reference's Spark job): density export -> spots -> bin vectors
     -> energy threshold -> KMeans + Gaussian mixture.
 
@@ -58,10 +59,8 @@ def cluster_languages(dist: DataFrame, k: int = 6, share: float = S.ENERGY_SHARE
     coords = cut_lineage(S.explode_coords(dist))
     index = S.bin_index(S.global_universe(coords))
     kept = S.energy_bins(S.bin_vectors(coords, index), share)
-    spark = dist.sparkSession
-    vectors = cut_lineage(CL.language_vectors(kept, index, coords.select("lang").distinct())
-                          .coalesce(spark.sparkContext.defaultParallelism))
-    models = CL.learn_patterns(vectors, k=k, seed=seed, gmm_pca_k=gmm_pca_k)
+    vectors = cut_lineage(CL.language_vectors(kept, index, coords.select("lang").distinct()))
+    models = CL.learn_patterns(vectors, k=k, seed=seed)
     assigned = CL.assign_clusters(models, vectors)
     return assigned, CL.cluster_members(assigned), models
 
@@ -70,7 +69,7 @@ def cluster_languages(dist: DataFrame, k: int = 6, share: float = S.ENERGY_SHARE
 class Workload:
     """Shared intermediate plans over one bridge (lazy DataFrames only)."""
     bridge: Bridge
-    graph_min_loc: float = 5000  # test-data node threshold (SURVEY §7)
+    graph_min_loc: float
 
     @cached_property
     def repos(self) -> DataFrame:
@@ -95,7 +94,7 @@ class Workload:
 
     @cached_property
     def density(self) -> DataFrame:
-        return D.locate(self.lang_region, self.geo)
+        return language_density(self.repos, self.geo)
 
     @cached_property
     def dist(self) -> DataFrame:
@@ -150,13 +149,11 @@ class Workload:
 
     @cached_property
     def top_partners(self) -> DataFrame:
-        return C.top_partners(self.cooc)
+        return C.top_partners(self.cooc, self.pair_totals)
 
     @cached_property
     def corr_report(self) -> DataFrame:
-        best = C.top_languages(self.pair_totals)
-        return best.join(self.top_partners, "lang").select(
-            "lang", "pair_count", "repo_count", "rank", "partner", "occ")
+        return language_correlation(self.repos)
 
     @cached_property
     def edges(self) -> DataFrame:

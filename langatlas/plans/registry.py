@@ -27,6 +27,8 @@ from langatlas.sources.geocode import parse_geocode
 
 Query = Callable[[SparkSession, str], DataFrame]
 REGISTRY: dict[str, Query] = {}
+# C17 for the given tables: their repositories are far smaller than real ones.
+GRAPH_MIN_LOC = 5000
 
 
 def query(fn: Query) -> Query:
@@ -35,7 +37,7 @@ def query(fn: Query) -> Query:
 
 
 def _w(spark: SparkSession, sf_dir: str) -> Workload:
-    return Workload(Bridge(spark, sf_dir))
+    return Workload(Bridge(spark, sf_dir), graph_min_loc=GRAPH_MIN_LOC)
 
 
 def r6(c: str, name: str | None = None) -> F.Column:
@@ -70,7 +72,8 @@ def lang_density(spark, sf_dir):
 
 @query
 def lang_coords(spark, sf_dir):
-    return _w(spark, sf_dir).dist
+    w = _w(spark, sf_dir)
+    return D.coords_long(w.lang_region, w.geo)
 
 
 @query
@@ -161,7 +164,7 @@ def spatial_universe(spark, sf_dir):
 
 @query
 def lenient_cast(spark, sf_dir):
-    """C11 over a text-typed export with unreadable densities and positions."""
+    """C11 over text triples with unreadable densities and positions."""
     w = _w(spark, sf_dir)
     d = w.density
     txt = F.array(
@@ -169,11 +172,7 @@ def lenient_cast(spark, sf_dir):
         d.lng.cast("string"),
         F.when(d.density % 7 == 0, F.concat(d.density.cast("string"), F.lit("x")))
          .otherwise(d.density.cast("string")))
-    dist_text = (d.groupBy("lang").agg(F.sort_array(F.collect_list(txt)).alias("coords"))
-                 .select(F.struct(F.col("lang").alias("_id"),
-                                  F.lit(None).cast("string").alias("value")).alias("lang"),
-                         "coords"))
-    return S.explode_coords(dist_text, keep_rejects=True)
+    return S.cast_triples(d.select("lang", txt.alias("c")), keep_rejects=True)
 
 
 @query
@@ -200,7 +199,7 @@ def energy_bins_literal(spark, sf_dir):
 @query
 def dataset_profile(spark, sf_dir):
     w = _w(spark, sf_dir)
-    return P.dataset_profile(w.dist, w.coords_plan, w.universe)
+    return P.dataset_profile(w.lang_region, w.density, w.universe)
 
 
 @query
@@ -264,6 +263,13 @@ def edge_weight_stats(spark, sf_dir):
     return e.select("src", "dst", "n", r6("sum_w"), r6("weight", "mean_w"), r6("std_w"))
 
 
+@query
+def graph_emissions(spark, sf_dir):
+    """E4 as rows: the weight of every (repository, primary, neighbour)."""
+    e = GR.graph_emissions(_w(spark, sf_dir).repos)
+    return e.select("repo", "src", "src_loc", "dst", r6("w"))
+
+
 @query
 def graph_nodes(spark, sf_dir):
     return _w(spark, sf_dir).nodes
@@ -303,6 +309,12 @@ def enrich_repos(spark, sf_dir):
         D.repo_total_loc().alias("total_loc"))
 
 
+@query
+def array_functions(spark, sf_dir):
+    """Array concat and slice, map keys and entries over a repository's languages."""
+    return SC.language_arrays(Bridge(spark, sf_dir).repos)
+
+
 @query
 def scalar_functions(spark, sf_dir):
     return SC.location_scalars(Bridge(spark, sf_dir).owners)

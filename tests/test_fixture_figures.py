@@ -15,7 +15,7 @@ pytestmark = pytest.mark.skipif(not os.path.isdir(SF), reason="test data not pre
 
 @pytest.fixture(scope="module")
 def w(spark):
-    return Workload(Bridge(spark, SF))
+    return Workload(Bridge(spark, SF), graph_min_loc=5000)
 
 
 def test_langs_owner_geo(w):

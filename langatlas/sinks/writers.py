@@ -18,17 +18,16 @@ def overwrite_stage(df: DataFrame, path: str) -> DataFrame:
     return df.sparkSession.read.parquet(path)
 
 
-def _finished(spark: SparkSession, path: str) -> bool:
-    """Whether a write to ``path`` has left its ``_SUCCESS`` marker."""
-    marker = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/_SUCCESS")
-    conf = spark.sparkContext._jsc.hadoopConfiguration()
-    return marker.getFileSystem(conf).exists(marker)
+def path_exists(spark: SparkSession, path: str) -> bool:
+    """Whether the file system of ``path`` has it."""
+    found = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return found.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(found)
 
 
 def cached_stage(spark: SparkSession, build, path: str, use_cached: bool = True) -> DataFrame:
     """P6 (``--skipprep``): read a materialised stage when it was written to the
     end (its ``_SUCCESS`` marker is there), else build and write it."""
-    if use_cached and _finished(spark, path):
+    if use_cached and path_exists(spark, f"{path}/_SUCCESS"):
         return spark.read.parquet(path)
     return overwrite_stage(build(), path)
 

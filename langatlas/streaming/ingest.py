@@ -2,61 +2,55 @@
 
 The reference repeatedly asks for "records after the last stored id", appends
 them and advances the cursor.  Here landed files are the source: the stream
-checkpoint plays the cursor, ``maxFilesPerTrigger`` the batch size,
-``availableNow`` runs until caught up, and ``dropDuplicates`` on the record
-key (state kept in the state store, spread over partitions by key) makes
-re-delivered records harmless.  The Parquet file sink commits each batch
-exactly once, so a rerun after a crash or an executor loss adds nothing twice.
+checkpoint plays the cursor, ``maxFilesPerTrigger`` the batch size, and
+``availableNow`` runs until caught up.
+
+Each micro-batch drops the records it has twice and those the target already
+holds: a left anti join with the target's keys between the batch's smallest and
+largest key, a range that Parquet statistics prune to few files while keys
+arrive roughly in order.  Nothing is kept between batches, so there is no state
+that grows with the records ever seen.  A batch is one folder of the target and
+a replayed batch replaces its own folder, so a rerun after a crash or an
+executor loss adds nothing twice.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-ROCKSDB_PROVIDER = ("org.apache.spark.sql.execution.streaming.state."
-                    "RocksDBStateStoreProvider")
-
-
-def start_with_state_settings(writer, spark: SparkSession, state_partitions: int | None):
-    """Start a streaming query whose stateful operators get ``state_partitions``
-    partitions (default: the cluster's parallelism) and the RocksDB state
-    store unless one is configured.  Both are fixed in the checkpoint at the
-    first start; the session's own settings are restored at once (a started
-    query keeps its own copy of the configuration)."""
-    wanted = {"spark.sql.shuffle.partitions":
-              str(state_partitions or spark.sparkContext.defaultParallelism)}
-    if not spark.conf.get("spark.sql.streaming.stateStore.providerClass", None):
-        wanted["spark.sql.streaming.stateStore.providerClass"] = ROCKSDB_PROVIDER
-    before = {k: spark.conf.get(k, None) for k in wanted}
-    for k, v in wanted.items():
-        spark.conf.set(k, v)
-    try:
-        return writer.start()
-    finally:
-        for k, v in before.items():
-            if v is None:
-                spark.conf.unset(k)
-            else:
-                spark.conf.set(k, v)
+from langatlas.sinks.writers import path_exists
+
+BATCH = "_batch"
 
 
 def run_ingest(spark: SparkSession, schema: StructType, landing: str, target: str,
-               checkpoint: str, key: str = "id", files_per_batch: int = 1,
-               state_partitions: int | None = None) -> None:
-    """Process every file landed so far (``availableNow``) and stop."""
-    stream = (spark.readStream.schema(schema)
-              .option("maxFilesPerTrigger", files_per_batch)
-              .parquet(landing)
-              .dropDuplicates([key]))
-    writer = (stream.writeStream.format("parquet")
-              .option("path", target)
-              .option("checkpointLocation", checkpoint)
-              .outputMode("append")
-              .trigger(availableNow=True))
-    start_with_state_settings(writer, spark, state_partitions).awaitTermination()
+               checkpoint: str, key: str = "id", files_per_batch: int = 1) -> None:
+    """Process every file landed so far (``availableNow``) and stop.  Of records
+    with one key any is kept; a null key is a key of its own."""
+
+    def append(batch: DataFrame, batch_id: int) -> None:
+        fresh = batch.dropDuplicates([key])
+        if path_exists(spark, target):
+            ends = batch.select(F.min(key).alias("low"), F.max(key).alias("high")).first()
+            held = spark.read.parquet(target).where(F.col(BATCH) != batch_id)
+            in_range = F.col(key).isNull()
+            if ends["low"] is not None:
+                in_range = in_range | F.col(key).between(ends["low"], ends["high"])
+            known = held.where(in_range).select(F.col(key).alias("_known"))
+            fresh = fresh.join(known, F.col(key).eqNullSafe(F.col("_known")), "left_anti")
+        fresh.write.mode("overwrite").parquet(f"{target}/{BATCH}={batch_id}")
+
+    (spark.readStream.schema(schema)
+     .option("maxFilesPerTrigger", files_per_batch)
+     .parquet(landing)
+     .writeStream.foreachBatch(append)
+     .option("checkpointLocation", checkpoint)
+     .trigger(availableNow=True)
+     .start().awaitTermination())
 
 
 def ingested(spark: SparkSession, target: str) -> DataFrame:
-    """Committed rows of the target (the sink's log hides partial files)."""
-    return spark.read.parquet(target)
+    """The rows of all finished batches."""
+    return spark.read.parquet(target).drop(BATCH)

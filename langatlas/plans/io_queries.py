@@ -108,7 +108,7 @@ def _in_range(assigned, name):
 _MODELS: dict[tuple[str, str], tuple] = {}
 
 
-def _fit(spark, sf_dir):
+def fit_clusters(spark, sf_dir):
     """Vectors are checkpointed (the fit iterates over them); the fitted models
     are kept per session and input folder, so the assign / members / centers
     queries share one fit."""
@@ -124,13 +124,13 @@ def _fit(spark, sf_dir):
 def cluster_assign(spark, sf_dir):
     """M2-M4, D8j: what is determined of the assignment -- every language once,
     both clusters in range."""
-    vectors, models = _fit(spark, sf_dir)
+    vectors, models = fit_clusters(spark, sf_dir)
     return _in_range(CL.assign_clusters(models, vectors), "lang")
 
 
 @query
 def cluster_members(spark, sf_dir):
-    vectors, models = _fit(spark, sf_dir)
+    vectors, models = fit_clusters(spark, sf_dir)
     """Per model, the member lists together: as many languages as there
     are, each once and in order."""
     members = CL.cluster_members(CL.assign_clusters(models, vectors))
@@ -141,7 +141,7 @@ def cluster_members(spark, sf_dir):
 
 @query
 def cluster_centers(spark, sf_dir):
-    vectors, models = _fit(spark, sf_dir)
+    vectors, models = fit_clusters(spark, sf_dir)
     """M5: length of every KMeans centre and whether its numbers are finite."""
     centers = CL.cluster_centers(models, vectors).where("model = 'kmeans'")
     finite = F.forall("center", lambda x: ~F.isnan(x) & (F.abs(x) < float("inf")))

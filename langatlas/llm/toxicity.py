@@ -9,7 +9,7 @@ long text has more units that look alike by chance).
 Kernel.  k(u, v) is the gap-weighted subsequence kernel of length 3 (Lodhi et
 al., 2002) with at most two skipped characters, decay ``GAP_DECAY`` each, over
 the word with its two ends marked, normalised to 1 for u = v and raised to the
-fourth power.
+fourth power (a product of kernels is a kernel).
 Inserted and left-out characters cost a decay, not the match.
 
 Training.  Labelled sentences: a sentence has the label of its document, and
@@ -55,10 +55,9 @@ OVER_REPRESENTED = 3.0
 RIDGE = 0.1
 #: Longest stretch of a word that is one unit; longer words are overlapping stretches.
 STRETCH, OVERLAP = 40, 5
-MAX_WORDS = 400_000
+MAX_WORDS = 150_000
 #: Largest margins of a text that its score is made of.
 TOP = 3
-POWER = 4
 
 SENTENCE_END = re.compile(r"[.!?\n]+")
 SPACED = re.compile(r"(?<!\S)\S(?:[ \t]\S){2,}(?!\S)")
@@ -70,6 +69,10 @@ END_CODE = 31
 
 
 def plain(word: str) -> str:
+    if word.isalpha():
+        return word
+    if word[:-1].isalpha() and word[-1] in ".,;:!?":
+        return word[:-1]
     return "".join(filter(str.isalnum, word.translate(LEET)))
 
 
@@ -87,18 +90,22 @@ def stretches(word: str) -> list[str]:
     return [word[i:i + STRETCH] for i in range(0, len(word) - OVERLAP, STRETCH - OVERLAP)]
 
 
-def _code(c: str) -> int:
-    """a-z are 1-26, other letters and digits share 27-30."""
-    return ord(c) - 96 if "a" <= c <= "z" else 27 + ord(c) % 4
+def coded(units: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """The characters of all units as codes (a-z are 1-26, other letters and
+    digits share 27-30), one unit after the other, and the units' lengths."""
+    points = np.frombuffer("".join(units).encode("utf-32-le", "surrogatepass"), np.uint32)
+    codes = np.where((points >= 97) & (points <= 122), points - 96, 27 + points % 4)
+    return codes.astype(np.int64), np.fromiter(map(len, units), np.int64, len(units))
 
 
 def occurrences(units: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(unit, feature, weight) of every distinct feature of every unit."""
-    coded = [[END_CODE, *map(_code, u), END_CODE] for u in units]
-    sizes = np.fromiter(map(len, coded), np.int64, len(coded))
-    codes = np.zeros((len(units), int(sizes.max(initial=0)) + 4), np.int64)
-    for row, values in zip(codes, coded):
-        row[:len(values)] = values
+    values, sizes = coded(units)
+    codes = np.zeros((len(units), int(sizes.max(initial=0)) + 6), np.int64)
+    codes[np.repeat(np.arange(len(units)), sizes),
+          np.arange(len(values)) - np.repeat(np.cumsum(sizes) - sizes, sizes) + 1] = values
+    codes[:, 0] = codes[np.arange(len(units)), sizes + 1] = END_CODE
+    sizes = sizes + 2
     found, weights = [], []
     width = codes.shape[1] - 4
     at = np.arange(width)
@@ -119,24 +126,28 @@ class Landmarks:
     def __init__(self, units: list[str]) -> None:
         owner, feature, weight = occurrences(units)
         norm = np.sqrt(np.bincount(owner, weight ** 2, len(units)))
-        self.row = np.full(CODES ** 3, -1)
-        known = np.unique(feature)
-        self.row[known] = np.arange(len(known))
-        self.table = np.zeros((len(known), len(units)), np.float32)
-        self.table[self.row[feature], owner] = weight / norm[owner]
+        # The landmarks with each feature, and their normalised weights.
+        order = np.argsort(feature, kind="stable")
+        self.start = np.searchsorted(feature[order], np.arange(CODES ** 3 + 1))
+        self.landmark = owner[order]
+        self.weight = (weight / norm[owner])[order]
+        self.size = len(units)
 
     def kernel(self, units: list[str]) -> np.ndarray:
-        out = np.zeros((len(units), self.table.shape[1]), np.float32)
-        for at in range(0, len(units), 4096):
-            some = units[at:at + 4096]
+        out = np.zeros((len(units), self.size), np.float32)
+        for at in range(0, len(units), 2048):
+            some = units[at:at + 2048]
             owner, feature, weight = occurrences(some)
             norm = np.sqrt(np.bincount(owner, weight ** 2, len(some)))
-            row = self.row[feature]
-            owner, weight, row = owner[row >= 0], weight[row >= 0], row[row >= 0]
-            if len(owner):
-                hit, first = np.unique(owner, return_index=True)
-                dots = np.add.reduceat(self.table[row] * weight[:, None].astype(np.float32), first)
-                out[at + hit] = (dots / norm[hit, None]) ** POWER
+            first = self.start[feature]
+            count = self.start[feature + 1] - first
+            ends = np.cumsum(count)
+            place = np.repeat(first - (ends - count), count) + np.arange(ends[-1] if len(ends) else 0)
+            dots = np.bincount(np.repeat(owner * self.size, count) + self.landmark[place],
+                               np.repeat(weight / norm[owner], count) * self.weight[place],
+                               len(some) * self.size)
+            square = dots.reshape(len(some), self.size) ** 2
+            out[at:at + 2048] = square * square
         return out
 
 
@@ -192,7 +203,7 @@ class Model:
     sigmoid: list[float]                    # of the evidence; the intercept last
 
     def __getstate__(self) -> dict:
-        return {k: v for k, v in self.__dict__.items() if k not in ("kernel", "seen")}
+        return {k: v for k, v in self.__dict__.items() if k not in ("kernel", "seen", "telling", "margin")}
 
     @cached_property
     def kernel(self) -> Landmarks:
@@ -202,6 +213,14 @@ class Model:
     def seen(self) -> dict[str, float]:
         return {}
 
+    @cached_property
+    def telling(self) -> set[str]:
+        return set()
+
+    @cached_property
+    def margin(self) -> dict[str, float]:
+        return {}
+
     def unit_margins(self, units: list[str]) -> np.ndarray:
         return self.kernel.kernel(units) @ np.asarray(self.weights, np.float32) + self.bias
 
@@ -210,16 +229,25 @@ class Model:
         it has fewer) and the logarithm of how many it has."""
         if len(self.seen) > MAX_WORDS:
             self.seen.clear()
+            self.telling.clear()
+        if len(self.margin) > MAX_WORDS:
+            self.margin.clear()
         written = [set(raw_units(t or "")) for t in texts]
-        new = list({w for words in written for w in words if w not in self.seen})
-        parts = [stretches(w) for w in new]
-        units = list({u for p in parts for u in p})
-        margin = dict(zip(units, self.unit_margins(units).tolist())) if units else {}
-        self.seen.update((w, max((margin[u] for u in p), default=self.bias))
-                         for w, p in zip(new, parts))
+        new = list(set().union(*(words.difference(self.seen) for words in written)))
+        parts, margin = [stretches(w) for w in new], self.margin
+        units = list({u for p in parts for u in p if u not in margin})
+        if units:
+            margin.update(zip(units, self.unit_margins(units).tolist()))
+        for word, p in zip(new, parts):
+            found = margin[p[0]] if len(p) == 1 else max((margin[u] for u in p), default=self.bias)
+            self.seen[word] = found
+            if found > self.bias:
+                self.telling.add(word)
         look, out = self.seen.__getitem__, np.full((len(texts), TOP + 1), self.bias)
         for row, words in zip(out, written):
-            top = nlargest(TOP, map(look, words))
+            # Words above the bias come before all others.
+            some = words & self.telling
+            top = nlargest(TOP, map(look, some if len(some) >= TOP else words))
             row[:len(top)] = top
             row[TOP] = math.log1p(len(words))
         return out

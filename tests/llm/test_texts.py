@@ -78,11 +78,11 @@ def brute_lines(rows):
     seen = {}
     for i, text in rows:
         if i is not None:
-            for n, line in enumerate((text or "").split("\n")):
-                if found := linededup.normalised_words(line):
-                    seen.setdefault(" ".join(found), set()).add((i, n))
+            for n, found in enumerate(linededup.normalised_lines(text)):
+                if found:
+                    seen.setdefault(b" ".join(found).decode(), set()).add((i, n))
     keys = list(seen)
-    fps = linededup.LineHasher().fingerprints([k.split() for k in keys])
+    fps = linededup.LineHasher().fingerprints([k.encode().split() for k in keys])
     parent = list(range(len(keys)))
 
     def root(x):
@@ -127,6 +127,16 @@ def test_lines(spark, rows):
     assert linededup.dedup_lines(docs).columns == docs.columns
 
 
+def test_distance_is_levenshtein():
+    import random
+    r = random.Random(2)
+    for _ in range(300):
+        a = "".join(r.choice("abcé🙂 ") for _ in range(r.randint(0, 90)))
+        b = "".join(c if r.random() > .2 else r.choice(["", "x", c + "y"]) for c in a)
+        for x, y in ((a, b), (b, a), (a, a[::-1])):
+            assert linededup.distance(x, y) == levenshtein(x, y)
+
+
 def test_block_keys_meet_every_pair_within_the_distance():
     from itertools import combinations
     for kept in combinations(range(8), 5):

@@ -35,7 +35,9 @@ from langatlas.llm.common import stage, text_slices
 SAMPLES = 64
 SEED = 42
 #: Words of which a worker keeps the rows of weight 1 (4 bytes a sample each).
-MAX_WORDS = 250_000
+MAX_WORDS = 300_000
+#: Words that are somewhere more than once, of which it keeps r, ln c and beta.
+MAX_HEAVY = 60_000
 #: Distinct terms of a text whose rows are looked at together.
 BLOCK_TERMS = 8192
 
@@ -49,6 +51,12 @@ def _mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
+def _grown(held: np.ndarray, rows: int) -> np.ndarray:
+    out = np.empty((rows, *held.shape[1:]), held.dtype)
+    out[:len(held)] = held
+    return out
+
+
 class Sampler:
     def __init__(self, samples: int = SAMPLES, max_words: int = MAX_WORDS) -> None:
         self.samples, self.max_words = samples, max_words
@@ -59,17 +67,19 @@ class Sampler:
         self.hashes = np.zeros(0, np.uint64)
         self.ones = np.zeros((0, self.samples), np.float32)
         self.used = 0
-        self.heavy: dict[int, int] = {}          # row -> row of the parameters
+        self.heavy = np.zeros(0, np.int64)       # row -> row of the parameters, or -1
         self.params = np.zeros((0, 3, self.samples), np.float32)
+        self.heavy_used = 0
 
     def draw(self, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """r, ln c and beta, each (terms x samples)."""
         k = self.samples
-        at = hashes[:, None] + np.arange(1, 5 * k + 1, dtype=np.uint64) * GOLDEN
-        u = ((_mix(at) >> np.uint64(40)).astype(np.float32) + np.float32(0.5)) * np.float32(2 ** -24)
+        at = hashes[:, None] + np.arange(1, (5 * k + 1) // 2 + 1, dtype=np.uint64) * GOLDEN
+        halves = _mix(at).view(np.uint32) >> np.uint32(8)       # two numbers of 24 bits each
+        u = (halves.astype(np.float32) + np.float32(0.5)) * np.float32(2 ** -24)
         r = -np.log(u[:, :k] * u[:, k:2 * k])
         c = -np.log(u[:, 2 * k:3 * k] * u[:, 3 * k:4 * k])
-        return r, np.log(c), u[:, 4 * k:]
+        return r, np.log(c), u[:, 4 * k:5 * k]
 
     def _add(self, words: list[str]) -> None:
         for i in range(0, len(words), BLOCK_TERMS):
@@ -80,26 +90,28 @@ class Sampler:
             need = self.used + len(some)
             if need > len(self.hashes):
                 room = max(need, 2 * len(self.hashes), 1024)
-                self.hashes = np.resize(self.hashes, room)
-                ones = np.empty((room, self.samples), np.float32)
-                ones[:self.used] = self.ones[:self.used]
-                self.ones = ones
+                self.hashes, self.ones = _grown(self.hashes, room), _grown(self.ones, room)
+                self.heavy = _grown(self.heavy, room)
             self.hashes[self.used:need] = hashes
+            self.heavy[self.used:need] = -1
             self.ones[self.used:need] = c + r * beta - r
             self.rows.update(zip(some, range(self.used, need)))
             self.used = need
 
     def _heavy(self, rows: np.ndarray) -> np.ndarray:
-        new = [r for r in rows.tolist() if r not in self.heavy]
-        if new:
-            drawn = np.stack(self.draw(self.hashes[new]), axis=1)
-            self.heavy.update(zip(new, range(len(self.params), len(self.params) + len(new))))
-            self.params = np.concatenate([self.params, drawn])
-        return self.params[[self.heavy[r] for r in rows.tolist()]]
+        new = rows[self.heavy[rows] < 0]
+        if len(new):
+            need = self.heavy_used + len(new)
+            if need > len(self.params):
+                self.params = _grown(self.params, max(need, 2 * len(self.params), 1024))
+            self.params[self.heavy_used:need] = np.stack(self.draw(self.hashes[new]), axis=1)
+            self.heavy[new] = np.arange(self.heavy_used, need)
+            self.heavy_used = need
+        return self.params[self.heavy[rows]]
 
     def fingerprints(self, texts: list[str]) -> np.ndarray:
         """(texts x samples) 16-bit numbers; a text without words has zeros."""
-        if self.used > self.max_words or len(self.heavy) > self.max_words // 8:
+        if self.used > self.max_words or self.heavy_used > MAX_HEAVY:
             self._clear()
         split = [t.lower().split() for t in texts]
         self._add(list({w for words in split for w in words if w not in self.rows}))

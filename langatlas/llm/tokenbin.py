@@ -125,7 +125,8 @@ def read_token_files(spark: SparkSession, path: str) -> DataFrame:
                       .alias("before")))
     found = blocks.mapInArrow(
         run, "shard int, doc_id bigint, at bigint, n_tokens bigint, ids binary")
-    return (found.join(shards, F.col("shard") == F.col("of"))
+    # A row per file of the folder: broadcast, so that the ids stay where they are.
+    return (found.join(F.broadcast(shards), F.col("shard") == F.col("of"))
             .select("doc_id", (F.col("before") + F.col("at")).alias("start"), "n_tokens", "ids"))
 
 

@@ -29,7 +29,7 @@ from langatlas.llm.wordids import file_encoder
 SEQUENCE_TOKENS = 2048
 END_ID = 0
 MAX_OPEN = 8192
-WINDOW_TOKENS = 8 << 20
+WINDOW_TOKENS = 4 << 20
 #: Token ids of one output batch.
 BATCH_TOKENS = 1 << 20
 #: Sequences of one task: sequence ids are task << 40 | number.

@@ -20,8 +20,8 @@ import numpy as np
 from tokenizers import Regex, Tokenizer, decoders, models, pre_tokenizers
 
 #: Words (and ids) a worker keeps; beyond it the store starts anew.
-MAX_WORDS = 1_000_000
-MAX_STORED_IDS = 16_000_000
+MAX_WORDS = 350_000
+MAX_STORED_IDS = 4_000_000
 
 CUT = re.compile(r" (?=\S)")
 MARKS = frozenset(".,;:!?")

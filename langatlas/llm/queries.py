@@ -39,7 +39,8 @@ def op3_lpt_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return linededup.dedup_lines(_texts(spark, sf_dir), dropped_col="dropped_lines")
+    return linededup.dedup_lines(_texts(spark, sf_dir), dropped_col="dropped_lines",
+                                 shingles=True)
 
 
 def op5_warc_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -127,6 +127,48 @@ def test_lines(spark, rows):
     assert linededup.dedup_lines(docs).columns == docs.columns
 
 
+def edited_pairs():
+    """Lines with one typo, three, a word put in, one taken out, one replaced."""
+    import random
+    r, lines, pairs = random.Random(5), [], {}
+    for _, text in documents():
+        lines += [b" ".join(w).decode() for w in linededup.normalised_lines(text) if len(w) >= 4]
+    for line in r.sample(sorted({x for x in lines if len(x) < 400}), 150):
+        for kind in ("letter", "letters", "in", "out", "word"):
+            w, chars = line.split(), list(line)
+            i = r.randrange(len(w))
+            if kind.startswith("letter"):
+                for _ in range(1 if kind == "letter" else 3):
+                    spot = r.choice([n for n, c in enumerate(chars) if c != " "])
+                    chars[spot] = r.choice("abcdefgh")
+                w = "".join(chars).split()
+            elif kind == "in":
+                w.insert(i, "inserted")
+            else:
+                w[i:i + 1] = ["replaced"] if kind == "word" else []
+            other = " ".join(w)
+            most = int(max(len(line), len(other)) * 0.2 + 1e-9)
+            if other != line and levenshtein(line, other) <= most:
+                pairs.setdefault(kind, []).append((line, other))
+    return pairs
+
+
+def test_bands_meet_what_the_edit_distance_keeps():
+    for kind, pairs in edited_pairs().items():
+        met = 0
+        for pair in pairs:
+            of, keys = linededup.band_keys([x.encode() for x in pair])
+            met += bool(set(keys[of == 0].tolist()) & set(keys[of == 1].tolist()))
+        assert len(pairs) > 100 and met / len(pairs) >= (0.95 if kind == "letters" else 0.98), kind
+
+
+def test_edited_lines_go_without_the_bit_gate(spark):
+    pairs = [p for found in edited_pairs().values() for p in found[:12]]
+    rows = [(n, f"{a}\n{b}") for n, (a, b) in enumerate(pairs)]
+    got = linededup.dedup_lines(frame(spark, rows), dropped_col="dropped", shingles=True).collect()
+    assert sum(1 in r["dropped"] for r in got) >= 0.95 * len(rows)
+
+
 def test_distance_is_levenshtein():
     import random
     r = random.Random(2)

@@ -169,6 +169,14 @@ def test_edited_lines_go_without_the_bit_gate(spark):
     assert sum(1 in r["dropped"] for r in got) >= 0.95 * len(rows)
 
 
+def test_lines_of_other_digits_or_signs_need_the_edit_check(spark):
+    rows = [(1, "1999 items\nC\n12.50\ntotal of 1234567 items"), (2, "2024 items\nC++\n99.99"),
+            (3, "C#\nTotal  of 1234568 items!\nc"), (4, "so, it goes on and on\n1999 ITEMS"),
+            (5, "so it goes on and on")]
+    got = linededup.dedup_lines(frame(spark, rows), dropped_col="dropped", shingles=True).collect()
+    assert {r["doc_id"]: r["dropped"] for r in got} == {1: [], 2: [], 3: [1, 2], 4: [1], 5: [0]}
+
+
 def test_distance_is_levenshtein():
     import random
     r = random.Random(2)

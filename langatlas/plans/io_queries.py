@@ -149,6 +149,27 @@ def cluster_centers(spark, sf_dir):
                           finite.alias("finite"))
 
 
+@query
+def cluster_assignments(spark, sf_dir):
+    """M2-M4, D8j: both models' cluster of every language."""
+    vectors, models = fit_clusters(spark, sf_dir)
+    return CL.assign_clusters(models, vectors)
+
+
+@query
+def cluster_member_lists(spark, sf_dir):
+    """The member languages of every cluster of both models."""
+    vectors, models = fit_clusters(spark, sf_dir)
+    return CL.cluster_members(CL.assign_clusters(models, vectors))
+
+
+@query
+def cluster_center_vectors(spark, sf_dir):
+    """M5: the centres of both models over all spots."""
+    vectors, models = fit_clusters(spark, sf_dir)
+    return CL.cluster_centers(models, vectors)
+
+
 @query
 def geo_fill_stream(spark, sf_dir):
     """Replies for the pending locations arrive in two deliveries and are
@@ -179,12 +200,23 @@ def corr_json(spark, sf_dir):
                     F.col("e.lang").alias("partner"), r6("e.occ", "occ")))
 
 
-@query
-def embedding_clusters(spark, sf_dir):
-    """M2-M4 on the embeddings table: both models' cluster per vector."""
+def _embedding_assignments(spark, sf_dir):
     emb = Bridge(spark, sf_dir).table("embeddings", "vec_id", "embedding")
     vectors = overwrite_stage(emb.select(F.col("vec_id").cast("string").alias("lang"),
                                          array_to_vector("embedding").alias("features")),
                               scratch_path(spark, "embedding-vectors"))
-    found = CL.assign_clusters(CL.learn_patterns(vectors), vectors)
-    return _in_range(found, F.col("lang").cast("bigint").alias("vec_id"))
+    return CL.assign_clusters(CL.learn_patterns(vectors), vectors)
+
+
+@query
+def embedding_assignments(spark, sf_dir):
+    """M2-M4 on the embeddings table: both models' cluster of every vector."""
+    return _embedding_assignments(spark, sf_dir).select(
+        F.col("lang").cast("bigint").alias("vec_id"), "kmeans", "gmm")
+
+
+@query
+def embedding_clusters(spark, sf_dir):
+    """M2-M4 on the embeddings table: what is determined of the assignment."""
+    return _in_range(_embedding_assignments(spark, sf_dir),
+                     F.col("lang").cast("bigint").alias("vec_id"))

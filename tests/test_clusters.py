@@ -66,3 +66,44 @@ def test_vectors_read_back(spark):
     assert sorted(tuple(r) for r in CL.vector_entries(vec).collect()) == sorted(rows)
     assert all(type(r["features"]).__name__ == "SparseVector" and r["features"].size == 9
                for r in vec.collect())
+
+
+def test_queries_return_assignments_members_and_centers(spark):
+    import numpy as np
+    from langatlas.plans.io_queries import _cluster_inputs
+    from langatlas.plans.registry import registered
+    qs, sf = registered(), "/root/testdata/sf0.001"
+    vectors = {r["lang"]: r["features"].toArray() for r in _cluster_inputs(spark, sf).collect()}
+    found = {r["lang"]: r for r in qs["cluster_assignments"](spark, sf).collect()}
+    centers = {(r["model"], r["cluster"]): np.array(r["center"])
+               for r in qs["cluster_center_vectors"](spark, sf).collect()}
+    assert set(found) == set(vectors)
+    kmeans = sorted(c for m, c in centers if m == "kmeans")
+    assert len({r["kmeans"] for r in found.values()}) > 1
+    for lang, v in vectors.items():            # the centre of a vector is its nearest one
+        far = [np.linalg.norm(v - centers["kmeans", c]) for c in kmeans]
+        assert far[kmeans.index(found[lang]["kmeans"])] <= min(far) + 1e-6 * max(1, max(far))
+    members = {(r["model"], r["cluster"]): r["langs"]
+               for r in qs["cluster_member_lists"](spark, sf).collect()}
+    for model in ("kmeans", "gmm"):
+        want = {}
+        for lang in sorted(found):
+            want.setdefault((model, found[lang][model]), []).append(lang)
+        assert want == {k: v for k, v in members.items() if k[0] == model}
+        if model == "gmm":
+            assert set(want) == {k for k in centers if k[0] == "gmm"}
+            for k, langs in want.items():
+                assert np.allclose(centers[k], np.mean([vectors[x] for x in langs], axis=0))
+
+
+def test_embedding_query_returns_the_nearest_centre(spark):
+    import numpy as np
+    from langatlas.plans.registry import registered
+    sf = "/root/testdata/sf0.001"
+    found = {r["vec_id"]: r["kmeans"] for r in registered()["embedding_assignments"](spark, sf).collect()}
+    rows = spark.read.parquet(f"{sf}/embeddings.parquet").select("vec_id", "embedding").collect()
+    assert set(found) == {r["vec_id"] for r in rows} and len(set(found.values())) > 1
+    x = {r["vec_id"]: np.array(r["embedding"], float) for r in rows}
+    own = {c: np.mean([x[i] for i in found if found[i] == c], axis=0) for c in set(found.values())}
+    near = sum(min(own, key=lambda c: np.linalg.norm(x[i] - own[c])) == found[i] for i in found)
+    assert near >= 0.8 * len(found)            # the fit stops after ten steps

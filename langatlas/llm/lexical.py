@@ -94,7 +94,7 @@ class Matches:
     """Term occurrences of a slice of documents: (document, term, tf) triples and
     the documents' lengths."""
 
-    def __init__(self, automaton, n_terms: int, texts: list[bytes | None]) -> None:
+    def __init__(self, automaton, texts: list[bytes | None]) -> None:
         lengths, docs, found, counts = [], [], [], []
         for place, text in enumerate(texts):
             words = terms_of(text)
@@ -170,7 +170,7 @@ def count_terms(docs: DataFrame, block, n_terms: int) -> tuple[int, int, np.ndar
         automaton = build_automaton(terms)
         sums = np.zeros(len(terms) + 2, np.int64)
         for _, texts in _parts(batches):
-            matches = Matches(automaton, len(terms), texts)
+            matches = Matches(automaton, texts)
             sums[0] += np.count_nonzero(matches.lengths)
             sums[1] += matches.lengths.sum()
             sums[2:] += np.bincount(matches.terms, minlength=len(terms))
@@ -199,7 +199,7 @@ def best_of_tasks(docs: DataFrame, block, weights, n_docs: int, n_terms: int, to
             doc_type = batch.schema.field("doc_id").type
             for ids, texts in _parts([batch]):
                 for at in range(0, len(ids), rows):
-                    matches = Matches(automaton, len(items.terms), texts[at:at + rows])
+                    matches = Matches(automaton, texts[at:at + rows])
                     best.add(ids[at:at + rows],
                              score_matrix(matches, items, weights.value, n_docs, n_terms))
         for item, kept in zip(items.items, best.kept):

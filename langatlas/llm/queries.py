@@ -8,8 +8,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from langatlas.llm import (bpe, cws, lexical, linededup, packing, search, sharding, simhash,
-                           tokenbin, toxicity, warc)
+from langatlas.llm import (bpe, cws, lexical, linededup, packing, personal, search, sharding,
+                           simhash, tokenbin, toxicity, warc)
 from langatlas.llm.common import table
 from langatlas.session import scratch_path
 
@@ -88,6 +88,21 @@ def op12_ranked_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
                                   table(spark, sf_dir, "benchmark", "item_id", "text"))
 
 
+def _span_text(spans) -> F.Column:
+    return F.array_join(F.transform(spans, lambda s: F.concat_ws(
+        ":", s["kind"], s["start"], s["end"])), ",")
+
+
+def op13_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _texts(spark, sf_dir)
+    found = personal.find_personal_data(docs, personal.train(docs))
+    counts = [F.size(F.filter("base", lambda s, k=kind: s["kind"] == k)).cast("bigint")
+              .alias(f"n_{kind}") for kind in personal.KINDS]
+    return found.select(
+        "doc_id", *counts, F.sha2(_span_text(F.col("base")), 256).alias("base_sha256"),
+        _span_text(F.array_sort(F.concat("base", "added"))).alias("spans"))
+
+
 QUERIES: list[Query] = [
     op1_simhash_near_dedup,
     op2_best_fit_packing,
@@ -100,6 +115,7 @@ QUERIES: list[Query] = [
     op9_toxicity,
     op10_document_fingerprints,
     op12_ranked_lexical_search,
+    op13_personal_data,
 ]
 
 

@@ -8,8 +8,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from langatlas.llm import (bpe, cws, lexical, linededup, packing, personal, search, sharding,
-                           simhash, tokenbin, toxicity, warc)
+from langatlas.llm import (bpe, cws, dialogue, lexical, linededup, packing, personal, search,
+                           sharding, simhash, tokenbin, toxicity, warc)
 from langatlas.llm.common import table
 from langatlas.session import scratch_path
 
@@ -83,6 +83,15 @@ def op10_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
                         "near_edited", "near_next")
 
 
+def op11_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "conversations", "conv_id", "turn", "role", "text")
+    repaired = dialogue.repair(dialogue.damage(rows), present_col="present")
+    found, hashed = repaired.conversations, dialogue.digests(repaired)
+    return found.join(hashed, found["conv_id"].eqNullSafe(hashed["conv_id"])).select(
+        found["conv_id"], "gaps", "blank", "duplicate", "truncated", "illegal", "cost", "audit",
+        F.col("sha256").alias("repaired_sha256"))
+
+
 def op12_ranked_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lexical.rank_documents(_texts(spark, sf_dir),
                                   table(spark, sf_dir, "benchmark", "item_id", "text"))
@@ -115,6 +124,7 @@ QUERIES: list[Query] = [
     op8_byte_level_bpe,
     op9_toxicity,
     op10_document_fingerprints,
+    op11_conversation_repair,
     op12_ranked_lexical_search,
     op13_personal_data,
 ]

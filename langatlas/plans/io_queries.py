@@ -1,14 +1,12 @@
 """Registered queries that write and read back (sinks, JSON source, streams)
-and the clustering queries.  The stage and stream queries have SQL oracles
-(their end state is a plain query over the given tables); the export and
-clustering queries are rows-only checks.
+and the clustering queries.  Their end state is a plain query over the given
+tables, which the SQL oracle states.
 
 Each run writes under a fresh path of the shared folder.
 """
 
 from __future__ import annotations
 
-from pyspark.ml.functions import array_to_vector
 from pyspark.sql import functions as F
 
 from langatlas.operators import clusters as CL
@@ -17,10 +15,13 @@ from langatlas.operators import distribution as D
 from langatlas.operators import geo as G
 from langatlas.operators.geo import GEO_COLUMNS
 from langatlas.plans.registry import _w, query, r6
-from langatlas.session import cut_lineage, scratch_path
-from langatlas.sinks.writers import cached_stage, overwrite_stage, write_dist_json
-from langatlas.sources.bridge import Bridge
+from langatlas.session import scratch_path
+from langatlas.sinks.catalogue import Catalogue
+from langatlas.sinks.writers import overwrite_stage, write_dist_json
+from langatlas.sources.bridge import SOURCES, Bridge
+from langatlas.plans.pipelines import cluster_languages
 from langatlas.sources.dist_json import lang_value_map, read_dist_json
+from langatlas.sources.tables import table_path
 from langatlas.streaming.geo_fill import current_geo, run_geo_fill, seed_geo_log
 from langatlas.streaming.ingest import ingested, run_ingest
 
@@ -56,13 +57,15 @@ def listed_languages_export(spark, sf_dir):
 
 @query
 def sink_overwrite(spark, sf_dir):
-    """B1 + P6: the E1 result replaces a stage twice (idempotent) and a
-    cached run reads the stage instead of recomputing."""
+    """B1 + P6: the E1 result replaces a stage twice (idempotent), and a stage of
+    the catalogue that is made from it is found again instead of recomputed."""
     w = _w(spark, sf_dir)
     path = scratch_path(spark, "distLangByRegion")
     overwrite_stage(w.lang_region, path)
-    overwrite_stage(w.lang_region, path)
-    return cached_stage(spark, lambda: w.lang_region, path, use_cached=True)
+    replaced = overwrite_stage(w.lang_region, path)
+    stages = Catalogue(spark)
+    stages.stage("distLangByRegion", [path], lambda: replaced)
+    return stages.stage("distLangByRegion", [path], lambda: replaced)
 
 
 @query
@@ -88,86 +91,99 @@ def incremental_ingest(spark, sf_dir):
     return ingested(spark, target)
 
 
-def _cluster_inputs(spark, sf_dir):
+@query
+def cluster_vectors(spark, sf_dir):
+    """M1, read back from the vectors."""
     w = _w(spark, sf_dir)
     langs = w.coords.select("lang").distinct()
-    return CL.language_vectors(w.energy, w.bins_index, langs)
+    return CL.vector_entries(CL.language_vectors(w.energy, w.bins_index, langs))
 
 
-@query
-def cluster_vectors(spark, sf_dir):
-    """M1, read back from the vectors."""
-    return CL.vector_entries(_cluster_inputs(spark, sf_dir))
+def _stored(spark, name, paths, fit):
+    """The model store: a fit's result is a stage of its input, made once and read
+    by every query; the fit's own tables go when it is stored."""
+    def build(folder):
+        work = CL.Work(spark)
+        found = fit(work)
+        found.assigned.write.parquet(f"{folder}/assigned")
+        found.centres.write.parquet(f"{folder}/centres")
+        work.clear()
 
+    folder = Catalogue(spark).folder(name, paths, build, k=CL.K, rounds=CL.KMEANS_ITERATIONS,
+                                     mixture_rounds=CL.MIXTURE_ITERATIONS)
+    return CL.Clusters(spark.read.parquet(f"{folder}/assigned"),
+                       spark.read.parquet(f"{folder}/centres"))
 
-def _in_range(assigned, name):
-    return assigned.select(name, *(F.col(m).between(0, CL.K - 1).alias(f"{m}_in_range")
-                                   for m in ("kmeans", "gmm")))
 
+def fit_clusters(spark, sf_dir):
+    """The export is written, read back and clustered."""
+    def fit(work):
+        path = scratch_path(spark, "dist-clusters")
+        write_dist_json(_w(spark, sf_dir).dist, path)
+        return cluster_languages(read_dist_json(spark, path, view=None), work=work)
 
-_MODELS: dict[tuple[str, str], tuple] = {}
+    paths = [table_path(sf_dir, t) for t in (*SOURCES, "region")]
+    return _stored(spark, "language-clusters", paths, fit)
 
 
-def fit_clusters(spark, sf_dir):
-    """Vectors are checkpointed (the fit iterates over them); the fitted models
-    are kept per session and input folder, so the assign / members / centers
-    queries share one fit."""
-    key = (spark.sparkContext.applicationId, sf_dir)
-    if key not in _MODELS:
-        # one row per language, iterated over by both fits
-        vectors = cut_lineage(_cluster_inputs(spark, sf_dir))
-        _MODELS[key] = (vectors, CL.learn_patterns(vectors))
-    return _MODELS[key]
+def fit_embeddings(spark, sf_dir):
+    def fit(work):
+        rows = Bridge(spark, sf_dir).table("embeddings", "vec_id", "embedding")
+        return CL.find_clusters(CL.dense_points(rows, "vec_id", "embedding", unit=1000),
+                                work=work)
+
+    return _stored(spark, "embedding-clusters", [table_path(sf_dir, "embeddings")], fit)
+
+
+def _assignments(spark, sf_dir):
+    return fit_clusters(spark, sf_dir).assigned.withColumnRenamed("id", "lang")
+
+
+def _members(spark, sf_dir):
+    members = CL.cluster_members(fit_clusters(spark, sf_dir).assigned)
+    return members.select("model", "cluster", F.size("members").cast("bigint").alias("n"),
+                          F.array_join("members", "|").alias("langs"))
+
+
+def _center_rows(spark, sf_dir):
+    return fit_clusters(spark, sf_dir).centres.select(
+        "model", "cluster", F.col("dim").alias("bin"), r6("value"))
 
 
 @query
 def cluster_assign(spark, sf_dir):
-    """M2-M4, D8j: what is determined of the assignment -- every language once,
-    both clusters in range."""
-    vectors, models = fit_clusters(spark, sf_dir)
-    return _in_range(CL.assign_clusters(models, vectors), "lang")
+    """M2-M4, D8j: both models' cluster of every language."""
+    return _assignments(spark, sf_dir)
 
 
 @query
 def cluster_members(spark, sf_dir):
-    vectors, models = fit_clusters(spark, sf_dir)
-    """Per model, the member lists together: as many languages as there
-    are, each once and in order."""
-    members = CL.cluster_members(CL.assign_clusters(models, vectors))
-    return members.groupBy("model").agg(
-        F.sum(F.size("langs")).alias("n_langs"),
-        F.bool_and(F.col("langs") == F.array_sort(F.array_distinct("langs"))).alias("in_order"))
+    """The member languages of every cluster of both models."""
+    return _members(spark, sf_dir)
 
 
 @query
 def cluster_centers(spark, sf_dir):
-    vectors, models = fit_clusters(spark, sf_dir)
-    """M5: length of every KMeans centre and whether its numbers are finite."""
-    centers = CL.cluster_centers(models, vectors).where("model = 'kmeans'")
-    finite = F.forall("center", lambda x: ~F.isnan(x) & (F.abs(x) < float("inf")))
-    return centers.select("cluster", F.size("center").cast("bigint").alias("n_spots"),
-                          finite.alias("finite"))
+    """M5: the centres of both models over the spots (zeros left out)."""
+    return _center_rows(spark, sf_dir)
 
 
 @query
 def cluster_assignments(spark, sf_dir):
-    """M2-M4, D8j: both models' cluster of every language."""
-    vectors, models = fit_clusters(spark, sf_dir)
-    return CL.assign_clusters(models, vectors)
+    """The same rows as ``cluster_assign``."""
+    return _assignments(spark, sf_dir)
 
 
 @query
 def cluster_member_lists(spark, sf_dir):
-    """The member languages of every cluster of both models."""
-    vectors, models = fit_clusters(spark, sf_dir)
-    return CL.cluster_members(CL.assign_clusters(models, vectors))
+    """The same rows as ``cluster_members``."""
+    return _members(spark, sf_dir)
 
 
 @query
 def cluster_center_vectors(spark, sf_dir):
-    """M5: the centres of both models over all spots."""
-    vectors, models = fit_clusters(spark, sf_dir)
-    return CL.cluster_centers(models, vectors)
+    """The same rows as ``cluster_centers``."""
+    return _center_rows(spark, sf_dir)
 
 
 @query
@@ -200,23 +216,20 @@ def corr_json(spark, sf_dir):
                     F.col("e.lang").alias("partner"), r6("e.occ", "occ")))
 
 
-def _embedding_assignments(spark, sf_dir):
-    emb = Bridge(spark, sf_dir).table("embeddings", "vec_id", "embedding")
-    vectors = overwrite_stage(emb.select(F.col("vec_id").cast("string").alias("lang"),
-                                         array_to_vector("embedding").alias("features")),
-                              scratch_path(spark, "embedding-vectors"))
-    return CL.assign_clusters(CL.learn_patterns(vectors), vectors)
-
-
 @query
 def embedding_assignments(spark, sf_dir):
     """M2-M4 on the embeddings table: both models' cluster of every vector."""
-    return _embedding_assignments(spark, sf_dir).select(
-        F.col("lang").cast("bigint").alias("vec_id"), "kmeans", "gmm")
+    return fit_embeddings(spark, sf_dir).assigned.withColumnRenamed("id", "vec_id")
 
 
 @query
 def embedding_clusters(spark, sf_dir):
-    """M2-M4 on the embeddings table: what is determined of the assignment."""
-    return _in_range(_embedding_assignments(spark, sf_dir),
-                     F.col("lang").cast("bigint").alias("vec_id"))
+    """M2-M5 on the embeddings table: how many vectors each cluster has, and the sum
+    of its centre's numbers."""
+    found = fit_embeddings(spark, sf_dir)
+    sizes = found.assigned.unpivot("id", ["kmeans", "gmm"], "model", "cluster").groupBy(
+        "model", "cluster").agg(F.count(F.lit(1)).alias("n"))
+    sums = found.centres.groupBy("model", "cluster").agg(
+        F.sum(F.col("value").cast("decimal(20,3)")).cast("double").alias("total"))
+    return sizes.join(sums, ["model", "cluster"], "left").select(
+        "model", "cluster", "n", r6("total"))

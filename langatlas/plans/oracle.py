@@ -7,6 +7,8 @@ language rows instead of in-row arrays).  The bridge CTEs mirror
 
 from __future__ import annotations
 
+from langatlas.plans import oracle_clusters as OC
+
 BRIDGE = """
 li_lang AS (
   SELECT l_orderkey AS repo_id, concat(p_brand, '/', p_type) AS lang, l_quantity, l_linenumber
@@ -237,17 +239,6 @@ ORACLE: dict[str, str] = {
           SELECT lang, bin,
                  CAST(floor(100.0 * value / sqrt(CAST(energy AS DOUBLE)) + 0.5) AS BIGINT) AS value
           FROM energy) WHERE value <> 0""",
-    "cluster_assign": """
-        SELECT DISTINCT lang, TRUE AS kmeans_in_range, TRUE AS gmm_in_range FROM density""",
-    "cluster_members": """
-        SELECT model, (SELECT count(DISTINCT lang) FROM density) AS n_langs, TRUE AS in_order
-        FROM (VALUES ('kmeans'), ('gmm')) m(model)""",
-    "cluster_centers": """
-        SELECT CAST(cluster AS INTEGER) AS cluster, (SELECT count(*) FROM universe) AS n_spots,
-               TRUE AS finite
-        FROM range(6) r(cluster)""",
-    "embedding_clusters": """
-        SELECT vec_id, TRUE AS kmeans_in_range, TRUE AS gmm_in_range FROM embeddings""",
     "corr_json": f"""
         SELECT lang, pair_count, repo_count, rank, partner, {r6('occ')} AS occ FROM report""",
     "graph_emissions": f"""
@@ -396,5 +387,35 @@ ORACLE: dict[str, str] = {
 }
 
 
+ASSIGN = "SELECT id AS lang, kmeans, gmm FROM assigned"
+MEMBERS = """
+SELECT model, cluster, count(*) AS n, string_agg(id, '|' ORDER BY id) AS langs FROM (
+  SELECT 'kmeans' AS model, kmeans AS cluster, id FROM assigned
+  UNION ALL SELECT 'gmm', gmm, id FROM assigned)
+GROUP BY model, cluster"""
+CENTERS = f"SELECT model, cluster, dim AS bin, {r6('value')} AS value FROM centres"
+LANGUAGE_CLUSTERS = {
+    "cluster_assign": ASSIGN, "cluster_assignments": ASSIGN, "cluster_members": MEMBERS,
+    "cluster_member_lists": MEMBERS, "cluster_centers": CENTERS,
+    "cluster_center_vectors": CENTERS,
+}
+EMBEDDING_CLUSTERS = {
+    "embedding_assignments": "SELECT id AS vec_id, kmeans, gmm FROM assigned",
+    "embedding_clusters": f"""
+SELECT s.model, s.cluster, s.n, {r6('t.total')} AS total FROM (
+  SELECT model, cluster, count(*) AS n FROM (
+    SELECT 'kmeans' AS model, kmeans AS cluster FROM assigned
+    UNION ALL SELECT 'gmm', gmm FROM assigned) GROUP BY model, cluster) s
+LEFT JOIN (SELECT model, cluster, CAST(sum(CAST(value AS DECIMAL(20, 3))) AS DOUBLE) AS total
+           FROM centres GROUP BY model, cluster) t
+  ON t.model = s.model AND t.cluster = s.cluster""",
+}
+
+
 def oracle_sql() -> dict[str, str]:
-    return {name: _q(body) for name, body in ORACLE.items()}
+    steps = OC.clusters()
+    bridged = f"WITH {BRIDGE.strip()},{OC.LANGUAGE_POINTS}{steps}"
+    plain = f"WITH {OC.EMBEDDING_POINTS.strip()}{steps}"
+    return ({name: _q(body) for name, body in ORACLE.items()}
+            | {name: f"{bridged}\n{body}" for name, body in LANGUAGE_CLUSTERS.items()}
+            | {name: f"{plain}\n{body}" for name, body in EMBEDDING_CLUSTERS.items()})

@@ -8,6 +8,7 @@ from functools import cached_property
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from langatlas.operators import clusters as CL
 from langatlas.operators import correlation as C
 from langatlas.operators import distribution as D
 from langatlas.operators import geo as G
@@ -48,21 +49,18 @@ def apply_geocodes(geo: DataFrame, pending: DataFrame, replies: DataFrame) -> Da
 
 
 def cluster_languages(dist: DataFrame, k: int = 6, share: float = S.ENERGY_SHARE,
-                      seed: int = 42):
+                      work: CL.Work | None = None) -> CL.Clusters:
     """P4 (the reference's Spark job): density export -> spots -> bin vectors
-    -> energy threshold -> KMeans + Gaussian mixture.
+    -> energy threshold -> k-means + Gaussian mixture.
 
-    Returns ``(assignments, members, models)``.  The exploded coordinates and
-    the vectors are materialised (several branches / iterations read them).
+    The exploded coordinates are materialised (several branches read them); the
+    result reads tables of ``work`` (see ``clusters.find_clusters``).
     """
-    from langatlas.operators import clusters as CL
     coords = cut_lineage(S.explode_coords(dist))
     index = S.bin_index(S.global_universe(coords))
     kept = S.energy_bins(S.bin_vectors(coords, index), share)
-    vectors = cut_lineage(CL.language_vectors(kept, index, coords.select("lang").distinct()))
-    models = CL.learn_patterns(vectors, k=k, seed=seed)
-    assigned = CL.assign_clusters(models, vectors)
-    return assigned, CL.cluster_members(assigned), models
+    return CL.find_clusters(CL.language_points(kept, coords.select("lang").distinct()), k,
+                            work=work)
 
 
 @dataclass

@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from langatlas.operators.geo import upsert_geo
 from langatlas.schemas import DIST
+from langatlas.sinks.files import Files
 
 
 def overwrite_stage(df: DataFrame, path: str) -> DataFrame:
@@ -20,16 +21,7 @@ def overwrite_stage(df: DataFrame, path: str) -> DataFrame:
 
 def path_exists(spark: SparkSession, path: str) -> bool:
     """Whether the file system of ``path`` has it."""
-    found = spark._jvm.org.apache.hadoop.fs.Path(path)
-    return found.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(found)
-
-
-def cached_stage(spark: SparkSession, build, path: str, use_cached: bool = True) -> DataFrame:
-    """P6 (``--skipprep``): read a materialised stage when it was written to the
-    end (its ``_SUCCESS`` marker is there), else build and write it."""
-    if use_cached and path_exists(spark, f"{path}/_SUCCESS"):
-        return spark.read.parquet(path)
-    return overwrite_stage(build(), path)
+    return Files(spark).exists(path)
 
 
 def append_batch(df: DataFrame, path: str) -> None:

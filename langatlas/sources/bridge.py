@@ -16,27 +16,23 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from langatlas.functions.locations import normalize_location
-from langatlas.session import scratch_path
+from langatlas.sinks.catalogue import Catalogue
 from langatlas.sources.repos import enrich_repos
-from langatlas.sources.tables import read_table
+from langatlas.sources.tables import read_table, table_path
 
 # Languages that are API error texts, not languages (stored as a language key
 # by the harvester).  Fixed value from the reference.
 NON_LANGUAGES = ("message",)
 
-_LANDED: dict[tuple[str, str, str], str] = {}
+#: The given tables that repositories are derived from.
+SOURCES = ("lineitem", "part", "orders", "customer", "nation")
 
 
 def landed(spark: SparkSession, sf_dir: str, name: str, build) -> DataFrame:
-    """Write ``build()`` once per (session, input folder, name) under the shared
-    folder and return a scan of it."""
-    key = (spark.sparkContext.applicationId, sf_dir.rstrip("/"), name)
-    path = _LANDED.get(key)
-    if path is None:
-        path = scratch_path(spark, f"landed-{name}")
-        build().write.parquet(path)
-        _LANDED[key] = path
-    return spark.read.parquet(path)
+    """``build()`` as a stage of the catalogue: written when the given tables have no
+    version of it yet, else read."""
+    paths = [table_path(sf_dir, t) for t in SOURCES]
+    return Catalogue(spark).stage(f"landed-{name}", paths, build)
 
 
 def login_of(custkey: F.Column) -> F.Column:
@@ -132,7 +128,7 @@ class Bridge:
         """``id, name, owner struct, langs array`` -- one row per repository.
 
         In the reference this is the stored collection every job starts from.
-        The bridge lands it once per session and input folder as Parquet in
+        The bridge lands it once per version of the given tables as Parquet in
         the shared folder; every query then scans it (column and nested-field
         pruning apply) instead of re-deriving it from the TPC-H tables.  The
         landing also stores each repository's LoC total (``loc_total``) and

@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from langatlas.session import scratch_path
-from langatlas.sinks.writers import cached_stage, overwrite_stage, write_geo_version
+from langatlas.sinks.writers import overwrite_stage, write_geo_version
 from langatlas.sources.dist_json import lang_value_map, read_dist_json
 from langatlas.operators.spatial import explode_coords
 from tests.conftest import rows_of, srt
@@ -29,16 +29,11 @@ def test_read_export_top_level_array(spark):
     assert explode_coords(dist).agg(F.sum("density")).first()[0] == 16
 
 
-def test_stage_overwrite_and_cache(spark):
+def test_stage_overwrite(spark):
     path = scratch_path(spark, "stage")
     df = spark.range(5).withColumnRenamed("id", "x")
     overwrite_stage(df, path)
     assert overwrite_stage(df, path).count() == 5          # replaced, not appended
-    built = []
-    out = cached_stage(spark, lambda: built.append(1) or df, path)
-    assert out.count() == 5 and not built                   # read, not rebuilt
-    fresh = cached_stage(spark, lambda: built.append(1) or df, scratch_path(spark, "nostage"))
-    assert fresh.count() == 5 and built == [1]
 
 
 def test_geo_new_version(spark):
@@ -49,16 +44,6 @@ def test_geo_new_version(spark):
     assert rows_of(new, "location", "city") == srt([("Oslo", "a"), ("Lima", "b"), ("Rome", None)])
 
 
-def test_half_written_stage_is_built_again(spark):
-    path = scratch_path(spark, "half")
-    spark.range(3).write.parquet(path)
-    local = path.removeprefix("file:")
-    os.remove(os.path.join(local, "_SUCCESS"))
-    if os.path.exists(os.path.join(local, "._SUCCESS.crc")):
-        os.remove(os.path.join(local, "._SUCCESS.crc"))
-    assert cached_stage(spark, lambda: spark.range(5), path).count() == 5
-
-
 def test_export_of_missing_and_null_locations(spark):
     from langatlas.operators.distribution import nest_coords
     lr = spark.createDataFrame([("Go", None, 3), ("Go", "null", 4), ("Go", "Oslo", 5)],

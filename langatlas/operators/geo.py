@@ -67,20 +67,21 @@ def resolve_lookups(pending: DataFrame, parsed: DataFrame) -> DataFrame:
             .select(*GEO_COLUMNS))
 
 
-def upsert_geo(geo: DataFrame, updates: DataFrame, seq_col: str | None = None) -> DataFrame:
-    """Insert-or-replace whole records by location.
-
-    Updates are first reduced to one row per location, deterministically:
-    the latest by ``seq_col`` when given (sequential upserts, last wins),
-    otherwise the greatest record (a replayed delivery carries identical
-    records, so any fixed rule gives the same table).  Old rows whose location
-    is updated are removed with an anti join.  The result must be written to
-    a new path (Spark cannot overwrite a path it reads)."""
+def one_record(updates: DataFrame, seq_col: str | None = None) -> DataFrame:
+    """One row per location, deterministically: the latest by ``seq_col`` when given
+    (sequential upserts, last wins), otherwise the greatest record (a replayed
+    delivery carries identical records, so any fixed rule gives the same table)."""
     if seq_col is not None:
-        new = latest_geo(updates, seq_col).select(*GEO_COLUMNS)
-    else:
-        rec = F.struct(*[F.col(c) for c in GEO_COLUMNS[1:]])
-        new = (updates.groupBy("location").agg(F.max(rec).alias("r"))
-               .select("location", *[F.col(f"r.{c}").alias(c) for c in GEO_COLUMNS[1:]]))
+        return latest_geo(updates, seq_col).select(*GEO_COLUMNS)
+    rec = F.struct(*[F.col(c) for c in GEO_COLUMNS[1:]])
+    return (updates.groupBy("location").agg(F.max(rec).alias("r"))
+            .select("location", *[F.col(f"r.{c}").alias(c) for c in GEO_COLUMNS[1:]]))
+
+
+def upsert_geo(geo: DataFrame, updates: DataFrame, seq_col: str | None = None) -> DataFrame:
+    """Insert-or-replace whole records by location, as a plain table: old rows
+    whose location is updated are removed with an anti join.  A stored table takes
+    ``one_record`` as a new version (``sinks.versions``)."""
+    new = one_record(updates, seq_col)
     keep = geo.select(*GEO_COLUMNS).join(new.select("location"), "location", "left_anti")
     return keep.unionByName(new)

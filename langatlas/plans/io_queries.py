@@ -17,12 +17,12 @@ from langatlas.operators.geo import GEO_COLUMNS
 from langatlas.plans.registry import _w, query, r6
 from langatlas.session import scratch_path
 from langatlas.sinks.catalogue import Catalogue
-from langatlas.sinks.writers import overwrite_stage, write_dist_json
+from langatlas.sinks.writers import geo_table, overwrite_stage, write_dist_json
 from langatlas.sources.bridge import SOURCES, Bridge
 from langatlas.plans.pipelines import cluster_languages
 from langatlas.sources.dist_json import lang_value_map, read_dist_json
 from langatlas.sources.tables import table_path
-from langatlas.streaming.geo_fill import current_geo, run_geo_fill, seed_geo_log
+from langatlas.streaming.geo_fill import run_geo_fill
 from langatlas.streaming.ingest import ingested, run_ingest
 
 
@@ -188,22 +188,23 @@ def cluster_center_vectors(spark, sf_dir):
 
 @query
 def geo_fill_stream(spark, sf_dir):
-    """Replies for the pending locations arrive in two deliveries and are
-    folded into the geo log by two ``availableNow`` runs; the result is the
-    current geo table (same rows as ``geo_upsert``)."""
+    """Replies for the pending locations arrive in two deliveries and are put
+    into the location table by two ``availableNow`` runs; the result is its newest
+    version (same rows as ``geo_upsert``)."""
     w = _w(spark, sf_dir)
     known = w.known_geo.select(*GEO_COLUMNS)
-    log, replies, ckpt = (scratch_path(spark, n) for n in ("geo-log", "replies", "geo-ckpt"))
-    seed_geo_log(known, log)
+    place, replies, ckpt = (scratch_path(spark, n) for n in ("geo-table", "replies", "geo-ckpt"))
+    table = geo_table(spark, place)
+    table.update(lambda _: known)
     pending = G.pending_locations(w.regions, known)
     todo = w.geocode_replies.join(pending, "location", "left_semi")
     first = todo.where(F.col("location") < "M")
     first.write.parquet(f"{replies}/delivery=1")
-    run_geo_fill(spark, f"{replies}/*", log, ckpt)
+    run_geo_fill(spark, f"{replies}/*", table, ckpt)
     todo.where(F.col("location") >= "M").write.parquet(f"{replies}/delivery=2")
     first.write.parquet(f"{replies}/delivery=3")          # a re-delivery: skipped
-    run_geo_fill(spark, f"{replies}/*", log, ckpt)
-    return current_geo(spark, log)
+    run_geo_fill(spark, f"{replies}/*", table, ckpt)
+    return table.read()
 
 
 @query

@@ -45,7 +45,7 @@ repo_stats AS (
   SELECT repo_id, count(*) AS n_langs, sum(loc) AS tot FROM langs GROUP BY repo_id
 ),
 geo AS (
-  SELECT n_name AS location, r_name AS city, n_name AS country, n_regionkey,
+  SELECT n_name AS location, r_name AS city, n_name AS country, n_regionkey, n_nationkey,
          CASE WHEN n_nationkey % 12 = 11 THEN NULL
               ELSE CAST((n_nationkey * 37) % 120 - 60 AS DOUBLE) END AS lat,
          CASE WHEN n_nationkey % 12 = 11 THEN NULL
@@ -164,8 +164,11 @@ replies AS (
          CASE WHEN g.location IS NULL THEN NULL
               WHEN g.lat IS NOT NULL THEN 'OK' ELSE 'ZERO_RESULTS' END AS status,
          CASE WHEN g.lat IS NOT NULL THEN g.city END AS city,
-         CASE WHEN g.lat IS NOT NULL THEN g.country END AS country,
-         g.lat, g.lng
+         CASE WHEN g.lat IS NOT NULL AND g.n_nationkey % 5 <> 2 THEN g.country END AS country,
+         g.lat, g.lng,
+         CASE WHEN g.location IS NULL AND length(c.location) % 2 = 0 THEN 'malformed'
+              WHEN g.location IS NULL THEN 'transport'
+              WHEN g.lat IS NULL THEN 'refused' END AS fault
   FROM candidates c LEFT JOIN geo g ON g.location = c.location
 )
 """
@@ -264,7 +267,16 @@ ORACLE: dict[str, str] = {
                  row_number() OVER (PARTITION BY n_name ORDER BY s_suppkey DESC) AS rn
           FROM supplier JOIN nation ON s_nationkey = n_nationkey)
         WHERE rn = 1""",
-    "geocode_parse": "SELECT location, status, city, country, lat, lng FROM replies",
+    "geocode_parse": "SELECT location, status, city, country, lat, lng, fault FROM replies",
+    "geocode_quarantine": """
+        SELECT location, fault,
+               CASE fault WHEN 'malformed' THEN '{"status": "OK", "results": [{"ge'
+                          WHEN 'refused' THEN '{"status":"ZERO_RESULTS","results":[]}' END AS body,
+               (SELECT count(*) FROM replies) AS n_replies,
+               (SELECT count(*) FROM replies WHERE fault = 'transport') AS n_transport,
+               (SELECT count(*) FROM replies WHERE fault = 'malformed') AS n_malformed,
+               (SELECT count(*) FROM replies WHERE fault = 'refused') AS n_refused
+        FROM replies WHERE fault IS NOT NULL""",
     "geo_upsert": """
         SELECT location, city, country, lat, lng FROM known_geo
         WHERE location NOT IN (SELECT location FROM pending)

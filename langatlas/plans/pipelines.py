@@ -15,7 +15,9 @@ from langatlas.operators import geo as G
 from langatlas.operators import graph as GR
 from langatlas.operators import spatial as S
 from langatlas.session import cut_lineage
+from langatlas.sinks.versions import VersionedTable
 from langatlas.sources.bridge import Bridge
+from langatlas.sources.geocode import parse_geocode
 
 
 def language_density(repos: DataFrame, geo: DataFrame) -> DataFrame:
@@ -41,11 +43,12 @@ def pending_locations(repos: DataFrame, geo: DataFrame) -> DataFrame:
     return G.pending_locations(D.region_counts(repos), geo)
 
 
-def apply_geocodes(geo: DataFrame, pending: DataFrame, replies: DataFrame) -> DataFrame:
-    """P7, second half: parse the replies, record misses with nulls and upsert
-    (write the result to a new path before replacing ``geo``)."""
-    from langatlas.sources.geocode import parse_geocode
-    return G.upsert_geo(geo, G.resolve_lookups(pending, parse_geocode(replies)))
+def apply_geocodes(geo: VersionedTable, pending: DataFrame, replies: DataFrame,
+                   batch: tuple[str, int] | None = None) -> DataFrame:
+    """P7, second half: parse the replies, record misses with nulls and upsert them
+    into a new version of the location table, which is returned."""
+    records = G.resolve_lookups(pending, parse_geocode(replies))
+    return geo.read(geo.update(lambda _: G.one_record(records), batch))
 
 
 def cluster_languages(dist: DataFrame, k: int = 6, share: float = S.ENERGY_SHARE,
@@ -163,14 +166,5 @@ class Workload:
 
     @cached_property
     def geocode_replies(self) -> DataFrame:
-        """Replies for every candidate location, landed as JSON text: OK with
-        the nation's area and position, ZERO_RESULTS for a nation without a
-        position, no body (transport failure) for a non-place."""
-        from langatlas.sources.geocode import reply_body
-        cand = G.candidate_locations(self.regions)
-        g = self.geo.select(F.col("location").alias("_g"), "city", "country", "lat", "lng")
-        j = cand.join(g, cand.location == g._g, "left")
-        status = F.when(F.col("lat").isNotNull(), F.lit("OK")).otherwise(F.lit("ZERO_RESULTS"))
-        body = F.when(F.col("_g").isNull(), F.lit(None).cast("string")).otherwise(
-            reply_body(status, F.col("city"), F.col("country"), F.col("lat"), F.col("lng")))
-        return j.select("location", body.alias("body"))
+        """Replies for every candidate location, landed as JSON text (a fixture)."""
+        return self.bridge.geocode_replies(G.candidate_locations(self.regions))

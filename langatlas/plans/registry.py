@@ -18,12 +18,12 @@ from langatlas.operators import geo as G
 from langatlas.operators import graph as GR
 from langatlas.operators import profile as P
 from langatlas.operators import spatial as S
-from langatlas.plans.pipelines import Workload
+from langatlas.plans.pipelines import Workload, apply_geocodes, pending_locations
 from langatlas.sources import repos as R
 from langatlas.sources.bridge import Bridge
 from langatlas.session import scratch_path
-from langatlas.sinks.writers import write_geo_version
-from langatlas.sources.geocode import parse_geocode
+from langatlas.sinks.writers import geo_table
+from langatlas.sources.geocode import parse_geocode, split_replies
 
 Query = Callable[[SparkSession, str], DataFrame]
 REGISTRY: dict[str, Query] = {}
@@ -142,13 +142,25 @@ def geocode_parse(spark, sf_dir):
     return parse_geocode(_w(spark, sf_dir).geocode_replies)
 
 
+@query
+def geocode_quarantine(spark, sf_dir):
+    """A8 + A9: faulty replies with their bodies, and how many replies and faults the
+    parsing pass counted."""
+    good, bad = (scratch_path(spark, n) for n in ("replies-good", "replies-bad"))
+    counts = split_replies(_w(spark, sf_dir).geocode_replies, good, bad)
+    return spark.read.schema("location string, fault string, body string").parquet(bad).select(
+        "*", *(F.lit(n).cast("bigint").alias(f"n_{name}") for name, n in sorted(counts.items())))
+
+
 @query
 def geo_upsert(spark, sf_dir):
+    """B3 + B4 + P7: the resolved locations are a new version of the location table."""
     w = _w(spark, sf_dir)
     known = w.known_geo.select(*G.GEO_COLUMNS)
-    pending = G.pending_locations(w.regions, known)
-    resolved = G.resolve_lookups(pending, parse_geocode(w.geocode_replies))
-    return write_geo_version(known, resolved, scratch_path(spark, "geo-v2"))
+    table = geo_table(spark, scratch_path(spark, "geo-table"))
+    table.update(lambda _: known)
+    pending = pending_locations(w.repos, table.read())
+    return apply_geocodes(table, pending, w.geocode_replies)
 
 
 # --------------------------------------------------------------------- spatial

@@ -8,9 +8,9 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from langatlas.operators.geo import upsert_geo
-from langatlas.schemas import DIST
+from langatlas.schemas import DIST, GEO
 from langatlas.sinks.files import Files
+from langatlas.sinks.versions import VersionedTable
 
 
 def overwrite_stage(df: DataFrame, path: str) -> DataFrame:
@@ -29,11 +29,9 @@ def append_batch(df: DataFrame, path: str) -> None:
     df.write.mode("append").parquet(path)
 
 
-def write_geo_version(geo: DataFrame, updates: DataFrame, new_path: str) -> DataFrame:
-    """Upsert into a new version of the geo table (Spark cannot overwrite
-    the path it reads); callers switch to ``new_path`` afterwards."""
-    upsert_geo(geo, updates).write.mode("errorifexists").parquet(new_path)
-    return geo.sparkSession.read.parquet(new_path)
+def geo_table(spark: SparkSession, path: str) -> VersionedTable:
+    """The location table (see ``sinks.versions``)."""
+    return VersionedTable(spark, path, GEO, "location")
 
 
 def write_dist_json(dist: DataFrame, path: str) -> None:

@@ -16,6 +16,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from langatlas.functions.locations import normalize_location
+from langatlas.schemas import GEOCODE_BODY
 from langatlas.sinks.catalogue import Catalogue
 from langatlas.sources.repos import enrich_repos
 from langatlas.sources.tables import read_table, table_path
@@ -39,6 +40,30 @@ def login_of(custkey: F.Column) -> F.Column:
     return F.concat(F.lit("user-"), custkey.cast("string"))
 
 
+def reply_body(status: F.Column, city: F.Column, country: F.Column,
+               lat: F.Column, lng: F.Column, second: F.Column | None = None) -> F.Column:
+    """JSON body in the geocoder's reply shape; a null area has no component, and
+    ``second`` adds a further result elsewhere."""
+    def component(name: F.Column, *types: str) -> F.Column:
+        return F.when(name.isNotNull(), F.struct(
+            name.alias("long_name"), F.array(*map(F.lit, types)).alias("types")))
+
+    def result(parts: list[F.Column], y: F.Column, x: F.Column) -> F.Column:
+        return F.struct(
+            F.array_compact(F.array(*parts)).alias("address_components"),
+            F.struct(F.struct(y.alias("lat"), x.alias("lng")).alias("location")).alias("geometry"))
+
+    first = result([component(country, "country", "political"),
+                    component(city, "administrative_area_level_1", "political")], lat, lng)
+    other = result([component(F.lit("elsewhere"), "country", "political"),
+                    component(F.lit("nowhere"), "administrative_area_level_1", "political")],
+                   F.lit(0.0), F.lit(0.0))
+    more = F.lit(False) if second is None else F.coalesce(second, F.lit(False))
+    results = F.when(status == "OK", F.when(more, F.array(first, other)).otherwise(
+        F.array(first))).otherwise(F.array().cast(GEOCODE_BODY["results"].dataType))
+    return F.to_json(F.struct(status.alias("status"), results.alias("results")))
+
+
 @dataclass
 class Bridge:
     spark: SparkSession
@@ -159,7 +184,24 @@ class Bridge:
                             ((k * 37) % 120 - 60).cast("double")).alias("lat"),
                         F.when(no_pos, F.lit(None)).otherwise(
                             ((k * 71) % 300 - 150).cast("double")).alias("lng"),
-                        F.col("n_regionkey")))
+                        F.col("n_regionkey"), k.alias("n_nationkey")))
+
+    def geocode_replies(self, candidates: DataFrame) -> DataFrame:
+        """Fixture: replies for candidate locations as the geocoder sends them.  OK
+        with the nation's area and position -- every fifth nation with a second
+        result of another place, every fifth without a country component -- and
+        ZERO_RESULTS for a nation without a position.  A non-place has no body, or,
+        if its name has an even length, one that breaks off."""
+        g = self.geo.select(F.col("location").alias("_g"), "city", "country", "lat", "lng",
+                            F.col("n_nationkey").alias("_n"))
+        j = candidates.join(g, candidates.location == g._g, "left")
+        status = F.when(F.col("lat").isNotNull(), F.lit("OK")).otherwise(F.lit("ZERO_RESULTS"))
+        country = F.when(F.col("_n") % 5 != 2, F.col("country"))
+        whole = reply_body(status, F.col("city"), country, F.col("lat"), F.col("lng"),
+                           second=F.col("_n") % 5 == 1)
+        broken = F.when(F.length("location") % 2 == 0, F.lit('{"status": "OK", "results": [{"ge'))
+        body = F.when(F.col("_g").isNull(), broken).otherwise(whole)
+        return j.select("location", body.alias("body"))
 
     @cached_property
     def geo_log(self) -> DataFrame:

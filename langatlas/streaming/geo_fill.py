@@ -1,12 +1,12 @@
 """Incremental geo fill as a Structured Streaming job.
 
 Geocoder replies (``location, body``) land as files.  Each micro-batch keeps
-only locations not yet known (a failed lookup is known too), parses the
-replies natively, lets an OK reply win over a failed one, records misses with nulls and appends the records to the
-geo log with the batch id as sequence.  The current geo table is the log's
-last record per location (``latest_geo``), so an upsert is an append and a
-replayed batch (same id, same records) changes nothing.  The log can be
-compacted at any time by seeding a new one from ``current_geo``.
+only locations not yet known (a failed lookup is known too), parses the replies
+natively, lets an OK reply win over a failed one, records misses with nulls and
+puts the records into a new version of the location table.  Only the table's
+buckets that the batch's locations fall into are read.  The stream's name and
+batch number are in the commit: a replayed batch changes nothing, and another
+writer of the table is no harm.
 """
 
 from __future__ import annotations
@@ -14,40 +14,31 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from langatlas.operators.geo import GEO_COLUMNS, latest_geo
+from langatlas.operators.geo import GEO_COLUMNS
+from langatlas.sinks.versions import VersionedTable
 from langatlas.sources.geocode import parse_geocode
 
 REPLY_SCHEMA = "location string, body string"
 
 
-def current_geo(spark: SparkSession, log_path: str) -> DataFrame:
-    """The geo table: last record per location of the log."""
-    return latest_geo(spark.read.parquet(log_path)).select(*GEO_COLUMNS)
+def reply_records(replies: DataFrame) -> DataFrame:
+    """One record per location.  Every reply gives one: a faulty one parses to nulls.
+    Of several for a place an OK one counts, then the greatest fields."""
+    fields = F.struct(*(c for c in GEO_COLUMNS if c != "location"))
+    best = F.max(F.struct(F.col("fault").isNull().alias("ok"), fields.alias("r")))
+    return (parse_geocode(replies).groupBy("location").agg(best.alias("b"))
+            .select("location", "b.r.*").select(*GEO_COLUMNS))
 
 
-def seed_geo_log(geo: DataFrame, log_path: str) -> None:
-    """Start a log from an existing geo table (sequence 0)."""
-    geo.select(*GEO_COLUMNS, F.lit(0).cast("bigint").alias("seq")) \
-        .write.mode("append").parquet(log_path)
-
-
-def run_geo_fill(spark: SparkSession, replies_dir: str, log_path: str, checkpoint: str,
-                 files_per_batch: int = 1) -> None:
+def run_geo_fill(spark: SparkSession, replies_dir: str, table: VersionedTable,
+                 checkpoint: str, files_per_batch: int = 1, name: str = "geo-fill") -> None:
     """Process every landed reply file (``availableNow``) and stop."""
 
     def upsert(batch: DataFrame, batch_id: int) -> None:
-        known = spark.read.parquet(log_path).select("location").distinct()
-        fresh = batch.join(known, "location", "left_anti")
-        # every row carries its reply: a failed or non-OK one parses to nulls.  Of
-        # several replies for a place an OK one counts, then the greatest fields.
-        parsed = parse_geocode(fresh)
-        fields = F.struct(*(c for c in GEO_COLUMNS if c != "location"))
-        best = F.max(F.struct((F.coalesce("status", F.lit("")) == "OK").alias("ok"),
-                              fields.alias("r")))
-        records = (parsed.groupBy("location").agg(best.alias("b"))
-                   .select("location", "b.r.*").select(*GEO_COLUMNS))
-        (records.withColumn("seq", F.lit(batch_id + 1).cast("bigint"))
-         .write.mode("append").parquet(log_path))
+        def fresh(known):
+            return reply_records(batch.join(known(batch).select("location"), "location",
+                                            "left_anti"))
+        table.update(fresh, (name, batch_id))
 
     query = (spark.readStream.schema(REPLY_SCHEMA)
              .option("maxFilesPerTrigger", files_per_batch)

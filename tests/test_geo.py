@@ -1,7 +1,9 @@
 import json
 
 from langatlas.operators import geo as G
-from langatlas.sources.geocode import parse_geocode, reply_body
+from langatlas.session import scratch_path
+from langatlas.sources.bridge import reply_body
+from langatlas.sources.geocode import parse_geocode, split_replies
 from tests.conftest import rows_of, srt
 from pyspark.sql import functions as F
 
@@ -25,14 +27,22 @@ def test_parse_replies(spark):
                                "geometry": {"location": {"lat": 1.0, "lng": 2.0}}}])
     replies = spark.createDataFrame([
         ("Bangkok", ok), ("Atlantis", _body("ZERO_RESULTS", [])), ("Xville", no_country),
-        ("Broken", "{not json"), ("Offline", None)], "location string, body string")
-    got = rows_of(parse_geocode(replies), "location", "status", "city", "country", "lat", "lng")
-    assert got == srt([
-        ("Bangkok", "OK", "Bangkok", "Thailand", 13.7, 100.5),
-        ("Atlantis", "ZERO_RESULTS", None, None, None, None),
-        ("Xville", "OK", None, None, 1.0, 2.0),
-        ("Broken", None, None, None, None, None),
-        ("Offline", None, None, None, None, None)])
+        ("Broken", "{not json"), ("Cut", ok[:60]), ("List", "[1]"), ("Bare", "{}"),
+        ("Empty", ""), ("Offline", None)], "location string, body string")
+    got = rows_of(parse_geocode(replies), "location", "status", "city", "country", "lat", "lng",
+                  "fault")
+    faulty = [("Atlantis", "ZERO_RESULTS", None, None, None, None, "refused"),
+              *((name, None, None, None, None, None, "malformed")
+                for name in ("Broken", "Cut", "List", "Bare", "Empty")),
+              ("Offline", None, None, None, None, None, "transport")]
+    assert got == srt([("Bangkok", "OK", "Bangkok", "Thailand", 13.7, 100.5, None),
+                       ("Xville", "OK", None, None, 1.0, 2.0, None), *faulty])
+    good, bad = scratch_path(spark, "good"), scratch_path(spark, "bad")
+    counts = split_replies(replies, good, bad)
+    assert counts == {"replies": 9, "transport": 1, "malformed": 5, "refused": 1}
+    assert rows_of(spark.read.parquet(good), "location") == srt([("Bangkok",), ("Xville",)])
+    assert rows_of(spark.read.parquet(bad), "location", "fault") == srt(
+        (f[0], f[-1]) for f in faulty)
 
 
 def test_reply_body_roundtrip(spark):

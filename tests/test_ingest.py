@@ -37,12 +37,21 @@ def test_incremental_equals_one_batch(spark):
     assert a == b == list(range(120))
 
 
+GEO_COLS = "location string, city string, country string, lat double, lng double"
+
+
+def known(spark, *rows):
+    from langatlas.sinks.writers import geo_table
+    table = geo_table(spark, scratch_path(spark, "geo"))
+    table.update(lambda _: spark.createDataFrame(list(rows), GEO_COLS))
+    return table
+
+
 def test_geo_fill_replay_and_misses(spark):
-    from langatlas.sources.geocode import reply_body
-    from langatlas.streaming.geo_fill import current_geo, run_geo_fill, seed_geo_log
-    cols = "location string, city string, country string, lat double, lng double"
-    log, replies, ck = (scratch_path(spark, n) for n in ("glog", "grep", "gck"))
-    seed_geo_log(spark.createDataFrame([("Oslo", "x", "NO", 1.0, 2.0)], cols), log)
+    from langatlas.sources.bridge import reply_body
+    from langatlas.streaming.geo_fill import run_geo_fill
+    replies, ck = (scratch_path(spark, n) for n in ("grep", "gck"))
+    table = known(spark, ("Oslo", "x", "NO", 1.0, 2.0))
     src = spark.createDataFrame([("Lima", "OK", "LIM", "Peru", -12.0, -77.0),
                                  ("Rome", "ZERO_RESULTS", None, None, None, None),
                                  ("Oslo", "OK", "new", "NO", 9.0, 9.0)],
@@ -51,27 +60,24 @@ def test_geo_fill_replay_and_misses(spark):
     body = src.select("location", reply_body(F.col("status"), F.col("city"), F.col("country"),
                                              F.col("lat"), F.col("lng")).alias("body"))
     body.write.parquet(f"{replies}/d=1")
-    run_geo_fill(spark, f"{replies}/*", log, ck)
+    run_geo_fill(spark, f"{replies}/*", table, ck)
     body.write.parquet(f"{replies}/d=2")                    # re-delivered
-    run_geo_fill(spark, f"{replies}/*", log, ck)
-    got = {r["location"]: (r["city"], r["lat"]) for r in current_geo(spark, log).collect()}
+    run_geo_fill(spark, f"{replies}/*", table, ck)
+    got = {r["location"]: (r["city"], r["lat"]) for r in table.read().collect()}
     # Oslo was known: its reply is skipped; Rome's miss is recorded with nulls
     assert got == {"Oslo": ("x", 1.0), "Lima": ("LIM", -12.0), "Rome": (None, None)}
 
 
 def test_geo_fill_takes_the_ok_reply_in_either_order(spark):
-    from langatlas.session import scratch_path
-    from langatlas.sources.geocode import reply_body
-    from langatlas.streaming.geo_fill import current_geo, run_geo_fill, seed_geo_log
-    from pyspark.sql import functions as F
+    from langatlas.sources.bridge import reply_body
+    from langatlas.streaming.geo_fill import run_geo_fill
     ok = spark.range(1).select(F.lit("Oslo").alias("location"), reply_body(
         F.lit("OK"), F.lit("c"), F.lit("NO"), F.lit(59.9), F.lit(10.7)).alias("body"))
     bad = spark.createDataFrame([("Oslo", "{broken"), ("Oslo", None)], "location string, body string")
     for replies in (ok.union(bad), bad.union(ok)):
-        log, folder, ck = (scratch_path(spark, n) for n in ("log", "replies", "ck"))
-        cols = "location string, city string, country string, lat double, lng double"
-        seed_geo_log(spark.createDataFrame([("Lima", None, None, 1.0, 1.0)], cols), log)
+        folder, ck = (scratch_path(spark, n) for n in ("replies", "ck"))
+        table = known(spark, ("Lima", None, None, 1.0, 1.0))
         replies.coalesce(1).write.parquet(f"{folder}/delivery=1")
-        run_geo_fill(spark, f"{folder}/*", log, ck)
-        got = {r["location"]: r["lat"] for r in current_geo(spark, log).collect()}
+        run_geo_fill(spark, f"{folder}/*", table, ck)
+        got = {r["location"]: r["lat"] for r in table.read().collect()}
         assert got == {"Oslo": 59.9, "Lima": 1.0}

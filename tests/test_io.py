@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from langatlas.session import scratch_path
-from langatlas.sinks.writers import overwrite_stage, write_geo_version
+from langatlas.sinks.writers import overwrite_stage
 from langatlas.sources.dist_json import lang_value_map, read_dist_json
 from langatlas.operators.spatial import explode_coords
 from tests.conftest import rows_of, srt
@@ -36,14 +36,6 @@ def test_stage_overwrite(spark):
     assert overwrite_stage(df, path).count() == 5          # replaced, not appended
 
 
-def test_geo_new_version(spark):
-    cols = "location string, city string, country string, lat double, lng double"
-    geo = spark.createDataFrame([("Oslo", "a", "NO", 1.0, 1.0), ("Lima", None, None, None, None)], cols)
-    upd = spark.createDataFrame([("Lima", "b", "PE", 2.0, 2.0), ("Rome", None, None, None, None)], cols)
-    new = write_geo_version(geo, upd, scratch_path(spark, "geo-v"))
-    assert rows_of(new, "location", "city") == srt([("Oslo", "a"), ("Lima", "b"), ("Rome", None)])
-
-
 def test_export_of_missing_and_null_locations(spark):
     from langatlas.operators.distribution import nest_coords
     lr = spark.createDataFrame([("Go", None, 3), ("Go", "null", 4), ("Go", "Oslo", 5)],

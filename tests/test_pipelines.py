@@ -2,8 +2,8 @@ from pyspark.sql import functions as F
 
 from langatlas.plans import pipelines as P
 from langatlas.session import scratch_path
-from langatlas.sinks.writers import append_batch
-from langatlas.sources.geocode import reply_body
+from langatlas.sinks.writers import append_batch, geo_table
+from langatlas.sources.bridge import reply_body
 from tests.conftest import make_repos, owner, rows_of, srt
 
 GEO = "location string, city string, country string, lat double, lng double"
@@ -43,7 +43,9 @@ def test_pending_and_apply(spark):
                                 "lat double, lng double")
     replies = src.select("location", reply_body(F.col("status"), F.col("city"), F.col("country"),
                                                 F.col("lat"), F.col("lng")).alias("body"))
-    new = P.apply_geocodes(geo, pending, replies)
+    table = geo_table(spark, scratch_path(spark, "geo"))
+    table.update(lambda _: geo)
+    new = P.apply_geocodes(table, pending, replies)
     assert rows_of(new, "location", "country") == srt([("Oslo", "NO"), ("Lima", "Peru"),
                                                       ("Paris", None)])
 

@@ -94,28 +94,43 @@ def coords_long(lang_region: DataFrame, geo: DataFrame) -> DataFrame:
             .select("lang", "location", "lat", "lng", "loc"))
 
 
-def nest_coords(lang_region: DataFrame, geo: DataFrame) -> DataFrame:
-    """E9 / D3 (with D2j + C19): one row per language -- ``lang{_id, value}``
-    (all its locations as JSON) and ``coords`` (sorted ``[lat, lng, loc]`` of
-    the positioned ones).  Languages with no positioned location keep an
-    empty list.  A missing location and the text ``null`` are one key.
-
-    This is the export format: one document per language, so a row holds all
-    its locations (``value``) and spots (``coords``); the operators work on
-    ``coords_long``.
+#: Locations of one export document at most, on average (see ``nest_coords``).
+PART_ROWS = 4096
+
+
+def nest_coords(lang_region: DataFrame, geo: DataFrame, part_rows: int = PART_ROWS,
+                pairs_for_single: bool = False) -> DataFrame:
+    """E9 / D3 (with D2j + C19): documents ``lang{_id, value}, coords, part`` -- a
+    language's locations as JSON and the sorted ``[lat, lng, loc]`` of the
+    positioned ones.  Languages with no positioned location keep empty lists.  A
+    missing location and the text ``null`` are one key.
+
+    A language of more than ``part_rows`` locations is cut into as many documents
+    as keep them at that size (a location's part is by its hash), so no document
+    and no task grows with a language; readers put the parts together again
+    (``sources.dist_json``).  ``pairs_for_single``: a document of one location has
+    ``[location, loc]``, the other form that exports come in.
     """
     merged = (lang_region.groupBy("lang", F.coalesce("location", F.lit("null")).alias("location"))
               .agg(F.sum("loc").alias("loc")))
-    j = coords_long(merged, geo)
+    sizes = merged.groupBy("lang").agg(F.count(F.lit(1)).alias("_n"))
+    parts = F.ceil(F.col("_n") / part_rows).cast("int")
+    j = coords_long(merged, geo).join(sizes, "lang").withColumn(
+        "part", F.pmod(F.xxhash64("location"), parts).cast("int"))
     triple = F.when(F.col("lat").isNotNull(),
                     F.array("lat", "lng", F.col("loc").cast("double")))
-    per_lang = j.groupBy("lang").agg(
-        F.to_json(F.map_from_entries(F.sort_array(F.collect_list(
-            F.struct(F.col("location").alias("k"),
-                     F.col("loc").alias("v")))))).alias("value"),
-        F.sort_array(F.collect_list(triple)).alias("coords"))
-    return per_lang.select(F.struct(F.col("lang").alias("_id"), "value").alias("lang"),
-                           "coords")
+    entries = F.sort_array(F.collect_list(F.struct(F.col("location").alias("k"),
+                                                   F.col("loc").alias("v"))))
+    per_part = j.groupBy("lang", "part").agg(entries.alias("e"),
+                                             F.sort_array(F.collect_list(triple)).alias("coords"))
+    value = F.to_json(F.map_from_entries("e"))
+    if pairs_for_single:
+        name = F.to_json(F.array(F.col("e")[0]["k"]))            # ["name"]
+        pair = F.concat(F.left(name, F.length(name) - 1), F.lit(","),
+                        F.col("e")[0]["v"].cast("string"), F.lit("]"))
+        value = F.when(F.size("e") == 1, pair).otherwise(value)
+    return per_part.select(F.struct(F.col("lang").alias("_id"), value.alias("value")).alias("lang"),
+                           "coords", "part")
 
 
 def listed_languages(lang_region: DataFrame) -> DataFrame:
@@ -128,11 +143,9 @@ def listed_languages(lang_region: DataFrame) -> DataFrame:
 def listed_languages_export(dist: DataFrame) -> DataFrame:
     """C16 on a density export: languages whose ``lang.value`` entries, other
     than the missing-location key ``"null"``, sum to more than zero."""
-    from langatlas.sources.dist_json import lang_value_map
-    entries = F.filter(F.map_entries("value"), lambda e: e["key"] != "null")
-    total = F.aggregate(entries, F.lit(0).cast("bigint"),
-                        lambda acc, e: acc + F.coalesce(e["value"], F.lit(0).cast("bigint")))
-    return lang_value_map(dist).where(total > 0).select("lang")
+    from langatlas.sources.dist_json import location_entries
+    return (location_entries(dist).where(F.col("location") != "null").groupBy("lang")
+            .agg(F.sum("loc").alias("_t")).where(F.col("_t") > 0).select("lang"))
 
 
 def heatmap_points(density: DataFrame, lang: str | F.Column) -> DataFrame:

@@ -19,8 +19,8 @@ LONG_MAX = 9223372036854775807
 
 
 def dist_languages(dist: DataFrame) -> DataFrame:
-    """``SELECT lang._id`` over the export."""
-    return dist.select(F.col("lang._id").alias("lang"))
+    """``SELECT lang._id`` over the export (parts of a language are one)."""
+    return dist.select(F.col("lang._id").alias("lang")).distinct()
 
 
 def dist_by_language(dist: DataFrame) -> DataFrame:

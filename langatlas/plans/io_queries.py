@@ -20,8 +20,9 @@ from langatlas.sinks.catalogue import Catalogue
 from langatlas.sinks.writers import geo_table, overwrite_stage, write_dist_json
 from langatlas.sources.bridge import SOURCES, Bridge
 from langatlas.plans.pipelines import cluster_languages
-from langatlas.sources.dist_json import lang_value_map, read_dist_json
+from langatlas.sources.dist_json import location_entries, read_dist_json
 from langatlas.sources.tables import table_path
+from langatlas.streaming.aggregates import Aggregates
 from langatlas.streaming.geo_fill import run_geo_fill
 from langatlas.streaming.ingest import ingested, run_ingest
 
@@ -32,8 +33,7 @@ def sink_json(spark, sf_dir):
     entry of ``lang.value``."""
     path = scratch_path(spark, "dist-json")
     write_dist_json(_w(spark, sf_dir).dist, path)
-    return (lang_value_map(read_dist_json(spark, path, view=None))
-            .select("lang", F.explode("value").alias("location", "loc")))
+    return location_entries(read_dist_json(spark, path, view=None))
 
 
 @query
@@ -43,8 +43,11 @@ def scan_dist(spark, sf_dir):
     write_dist_json(_w(spark, sf_dir).dist, path)
     read_dist_json(spark, path, view="dists")
     return spark.sql("""
-        SELECT lang, c[0] AS lat, c[1] AS lng, CAST(c[2] AS BIGINT) AS density
-        FROM (SELECT lang._id AS lang, explode_outer(coords) AS c FROM dists)""")
+        WITH triples AS (SELECT lang._id AS lang, explode(coords) AS c FROM dists)
+        SELECT lang, c[0] AS lat, c[1] AS lng, CAST(c[2] AS BIGINT) AS density FROM triples
+        UNION ALL
+        SELECT DISTINCT d.lang._id, CAST(NULL AS DOUBLE), CAST(NULL AS DOUBLE), CAST(NULL AS BIGINT)
+        FROM dists d LEFT ANTI JOIN triples t ON d.lang._id = t.lang""")
 
 
 @query
@@ -91,6 +94,37 @@ def incremental_ingest(spark, sf_dir):
     return ingested(spark, target)
 
 
+def _kept_up(spark, sf_dir, *tables):
+    """Stored aggregates after three batches of repositories, the second of
+    which is delivered again."""
+    repos = _w(spark, sf_dir).repos
+    kept = Aggregates(spark, scratch_path(spark, "aggregates"))
+    parts = [repos.where(F.pmod(F.xxhash64("id"), F.lit(3)) == n) for n in range(3)]
+    for batch, part in ((0, parts[0]), (1, parts[1]), (1, parts[1]), (2, parts[2])):
+        kept.add(part, batch, tables=tables)
+    return kept
+
+
+@query
+def lang_region_kept_up(spark, sf_dir):
+    """E1 from the stored aggregates (same rows as ``lang_region_loc``)."""
+    return _kept_up(spark, sf_dir, "regions").lang_region_loc()
+
+
+@query
+def correlation_kept_up(spark, sf_dir):
+    """E3 from the stored aggregates: every pair with the totals of its base."""
+    kept = _kept_up(spark, sf_dir, "pairs", "totals")
+    totals = kept.lang_pair_totals().withColumnRenamed("lang", "base")
+    return kept.lang_cooccurrence().join(totals, "base")
+
+
+@query
+def graph_edges_kept_up(spark, sf_dir):
+    """E4 from the stored aggregates (the mean of weights in 1/WEIGHT_UNIT)."""
+    return _kept_up(spark, sf_dir, "edges").graph_edges().select("src", "dst", "n", "loc", r6("weight"))
+
+
 @query
 def cluster_vectors(spark, sf_dir):
     """M1, read back from the vectors."""

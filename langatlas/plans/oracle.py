@@ -190,6 +190,15 @@ ORACLE: dict[str, str] = {
         SELECT event_id, ts, user_id, event_type, value, props FROM (
           SELECT *, row_number() OVER (PARTITION BY event_id ORDER BY ts) AS rn FROM events)
         WHERE rn = 1""",
+    "lang_region_kept_up": "SELECT lang, location, loc FROM e1",
+    "correlation_kept_up": """
+        SELECT p.base, p.other, p.n, t.pair_count, t.repo_count
+        FROM pairs p JOIN totals t ON t.lang = p.base""",
+    "graph_edges_kept_up": f"""
+        SELECT src, dst, count(*) AS n, CAST(sum(src_loc) AS BIGINT) AS loc,
+               {r6("CAST(sum(CAST(round(w * 1099511627776.0) AS BIGINT)) AS DOUBLE)"
+                   " / 1099511627776.0 / count(*)")} AS weight
+        FROM emissions GROUP BY src, dst""",
     "region_counts": "SELECT location, count(*) AS n FROM repo GROUP BY location",
     "clean_regions": "SELECT lang, location, loc FROM clean",
     "lang_top_regions": """

@@ -99,8 +99,9 @@ class Workload:
 
     @cached_property
     def dist(self) -> DataFrame:
-        """The nested density export (D3): one row per language."""
-        return D.nest_coords(self.lang_region, self.geo)
+        """The nested density export (D3), in parts of some eight locations (the given
+        tables have thirty in all) and with both forms of ``lang.value``."""
+        return D.nest_coords(self.lang_region, self.geo, part_rows=8, pairs_for_single=True)
 
     @cached_property
     def coords_plan(self) -> DataFrame:

@@ -2,7 +2,7 @@
 
 A table is folders of rows and numbered commit files.  Commit n names the
 folders that make up version n, oldest first: of a key's rows the one in the
-last folder counts.  A commit file is created only if its number is free -- the
+last folder counts, or, in a table of sums, they are added up.  A commit file is created only if its number is free -- the
 file system decides -- so of two writers one has the version and the other
 looks at the new version and tries again.  A writer that dies before its commit
 leaves a folder that no version names.  Readers hold a version: its folders stay
@@ -32,9 +32,13 @@ TRIES = 20
 
 
 class VersionedTable:
-    def __init__(self, spark: SparkSession, path: str, schema: StructType, key: str,
-                 buckets: int = BUCKETS) -> None:
+    """``sums``: the columns that are added up (the others are the key); without
+    them rows replace each other by ``key``."""
+
+    def __init__(self, spark: SparkSession, path: str, schema: StructType, *key: str,
+                 buckets: int = BUCKETS, sums: tuple[str, ...] = ()) -> None:
         self.spark, self.path, self.key, self.buckets = spark, path, key, buckets
+        self.sums = sums
         self.schema, self.files = schema, Files(spark)
         self.stored = StructType([*schema.fields, StructField(BUCKET, IntegerType())])
 
@@ -57,7 +61,7 @@ class VersionedTable:
         return self._rows(folders, keys).drop(BUCKET)
 
     def _bucket(self) -> F.Column:
-        return F.pmod(F.xxhash64(F.col(self.key)), F.lit(self.buckets)).cast("int")
+        return F.pmod(F.xxhash64(*self.key), F.lit(self.buckets)).cast("int")
 
     def _rows(self, folders: list[str], keys: DataFrame | None = None) -> DataFrame:
         if not folders:
@@ -72,8 +76,11 @@ class VersionedTable:
             rows = rows.where(F.col(BUCKET).isin([r["b"] for r in hit]))
         if len(folders) == 1:
             return rows.drop(FOLDER)
+        if self.sums:
+            return rows.groupBy(*self.key, BUCKET).agg(*(F.sum(c).alias(c) for c in self.sums)) \
+                .select(*self.stored.fieldNames())
         fields = F.struct(*(c for c in self.stored.fieldNames()))
-        return rows.groupBy(self.key).agg(F.max_by(fields, F.col(FOLDER)).alias("r")).select("r.*")
+        return rows.groupBy(*self.key).agg(F.max_by(fields, F.col(FOLDER)).alias("r")).select("r.*")
 
     # ----------------------------------------------------------------- writing
     def _write(self, rows: DataFrame) -> str:

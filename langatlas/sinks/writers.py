@@ -35,5 +35,7 @@ def geo_table(spark: SparkSession, path: str) -> VersionedTable:
 
 
 def write_dist_json(dist: DataFrame, path: str) -> None:
-    """Density export as JSON lines (one language per line)."""
-    dist.select(*DIST.fieldNames()).write.mode("overwrite").json(path)
+    """Density export as JSON lines (one document a line, with its part number if
+    there is one)."""
+    part = [c for c in ("part",) if c in dist.columns]
+    dist.select(*DIST.fieldNames(), *part).write.mode("overwrite").json(path)

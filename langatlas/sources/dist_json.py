@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from langatlas.schemas import DIST, DIST_TEXT
 
@@ -13,7 +14,8 @@ def read_dist_json(spark: SparkSession, path: str, view: str | None = "dists",
     one JSON value per file (malformed input fails the read) ->
     ``lang{_id, value}, coords``; registered as ``view`` for SQL access.
     ``lang.value`` stays text because it is an object for most languages and
-    a two-element list for some (see ``lang_value_map``)."""
+    a two-element list for some (see ``location_entries``).  A large language comes
+    in several documents (see ``distribution.nest_coords``)."""
     df = spark.read.schema(DIST_TEXT if text_coords else DIST).json(
         path, multiLine=multi_line, mode="FAILFAST")
     if view:
@@ -21,12 +23,22 @@ def read_dist_json(spark: SparkSession, path: str, view: str | None = "dists",
     return df
 
 
-def lang_value_map(dist: DataFrame) -> DataFrame:
-    """``lang.value`` as ``map<string,bigint>`` (object form) or, for the
-    single-emission list form, a one-entry map."""
-    from pyspark.sql import functions as F
-    as_map = F.from_json("lang.value", "map<string,bigint>")
-    as_list = F.from_json("lang.value", "array<string>")
-    one = F.when(F.size(as_list) == 2, F.map_from_arrays(
-        F.array(F.get(as_list, 0)), F.array(F.get(as_list, 1).try_cast("bigint"))))
-    return dist.select(F.col("lang._id").alias("lang"), F.coalesce(as_map, one).alias("value"))
+def location_entries(dist: DataFrame) -> DataFrame:
+    """``lang, location, loc``: the entries of ``lang.value``, all parts of a language
+    together.
+
+    The text is read as a variant: an object holds an entry a key, a list of two a
+    single entry.  An entry without a whole number, another kind of value and text
+    that is no JSON give no row.
+    """
+    value = dist.select(F.col("lang._id").alias("lang"),
+                        F.try_parse_json(F.col("lang.value")).alias("v"))
+    kind = F.schema_of_variant("v")
+    as_map = F.try_variant_get("v", "$", "map<string,variant>")
+    as_pair = F.map_from_arrays(
+        F.array(F.coalesce(F.try_variant_get("v", "$[0]", "string"), F.lit("null"))),
+        F.array(F.try_variant_get("v", "$[1]", "variant")))
+    entries = F.when(kind.startswith("OBJECT"), as_map).when(kind.startswith("ARRAY"), as_pair)
+    return (value.select("lang", F.explode(entries).alias("location", "_loc"))
+            .select("lang", "location", F.try_variant_get("_loc", "$", "bigint").alias("loc"))
+            .where("loc IS NOT NULL"))

@@ -6,9 +6,10 @@ import pytest
 from pyspark.sql import functions as F
 
 from langatlas.session import scratch_path
-from langatlas.sinks.writers import overwrite_stage
-from langatlas.sources.dist_json import lang_value_map, read_dist_json
-from langatlas.operators.spatial import explode_coords
+from langatlas.schemas import DIST
+from langatlas.sinks.writers import overwrite_stage, write_dist_json
+from langatlas.sources.dist_json import location_entries, read_dist_json
+from langatlas.operators.spatial import dist_languages, explode_coords
 from tests.conftest import rows_of, srt
 
 
@@ -24,8 +25,8 @@ def test_read_export_top_level_array(spark):
     assert dist.count() == 2
     assert rows_of(spark.sql("SELECT lang._id AS lang, size(coords) AS n FROM dists_test")) == srt(
         [("Go", 2), ("Zig", 0)])
-    vm = {r["lang"]: r["value"] for r in lang_value_map(dist).collect()}
-    assert vm == {"Go": {"Oslo": 12, "null": 3}, "Zig": {"Lima": 5}}
+    assert rows_of(location_entries(dist)) == srt([("Go", "Oslo", 12), ("Go", "null", 3),
+                                                   ("Zig", "Lima", 5)])
     assert explode_coords(dist).agg(F.sum("density")).first()[0] == 16
 
 
@@ -46,6 +47,34 @@ def test_export_of_missing_and_null_locations(spark):
     assert row["coords"] == [[59.9, 10.7, 5.0]]
 
 
+def test_values_of_any_kind(spark):
+    values = {"a": '{"x": 1, "undefined": null, "y": "many", "z": 2}', "b": '["Lima", 5]',
+              "c": "[null, 7]", "d": "[]", "e": '["Lima"]', "f": "12", "g": "{cut", "h": None,
+              "i": "{}", "j": '["a \\"b\\"", 3]'}
+    dist = spark.createDataFrame([((k, v), []) for k, v in values.items()], DIST)
+    assert rows_of(location_entries(dist)) == srt([
+        ("a", "x", 1), ("a", "z", 2), ("b", "Lima", 5), ("c", "null", 7), ("j", 'a "b"', 3)])
+
+
+def test_a_large_language_comes_in_parts(spark):
+    from langatlas.operators.distribution import nest_coords
+    rows = [("Go", f"p{n} \"q\"", n + 1) for n in range(100)] + [("Zig", "p1 \"q\"", 5), ("Zig", None, 2),
+                                                                ("Ada", "nowhere", 1)]
+    lr = spark.createDataFrame(rows, "lang string, location string, loc bigint")
+    geo = spark.createDataFrame([(f"p{n} \"q\"", float(n), 1.0) for n in range(100)],
+                                "location string, lat double, lng double")
+    path = scratch_path(spark, "parts")
+    write_dist_json(nest_coords(lr, geo, part_rows=10, pairs_for_single=True), path)
+    dist = read_dist_json(spark, path, view=None)
+    docs = dist.collect()
+    sizes = [len(d["coords"]) for d in docs if d["lang"]["_id"] == "Go"]
+    assert 5 < len(sizes) <= 10 and max(sizes) < 30 and sum(sizes) == 100
+    assert any(d["lang"]["value"].startswith("[") for d in docs)
+    assert rows_of(location_entries(dist)) == srt((a, b or "null", c) for a, b, c in rows)
+    assert explode_coords(dist).where("lang = 'Go'").count() == 100
+    assert rows_of(dist_languages(dist)) == srt([("Go",), ("Zig",), ("Ada",)])
+
+
 def test_pretty_printed_array(spark):
     path = scratch_path(spark, "pretty")
     os.makedirs(path, exist_ok=True)

@@ -19,6 +19,7 @@ these rows for the words it has seen (bounded).
 from __future__ import annotations
 
 import hashlib
+from collections import Counter
 from collections.abc import Iterator
 from functools import cache
 
@@ -35,9 +36,9 @@ from langatlas.llm.common import stage, text_slices
 SAMPLES = 64
 SEED = 42
 #: Words of which a worker keeps the rows of weight 1 (4 bytes a sample each).
-MAX_WORDS = 300_000
+MAX_WORDS = 120_000
 #: Words that are somewhere more than once, of which it keeps r, ln c and beta.
-MAX_HEAVY = 60_000
+MAX_HEAVY = 24_000
 #: Distinct terms of a text whose rows are looked at together.
 BLOCK_TERMS = 8192
 
@@ -51,25 +52,21 @@ def _mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def _grown(held: np.ndarray, rows: int) -> np.ndarray:
-    out = np.empty((rows, *held.shape[1:]), held.dtype)
-    out[:len(held)] = held
-    return out
-
-
 class Sampler:
+    """Rows of words in arrays of a fixed size; full arrays start again."""
+
     def __init__(self, samples: int = SAMPLES, max_words: int = MAX_WORDS) -> None:
         self.samples, self.max_words = samples, max_words
+        self.max_heavy = max(BLOCK_TERMS, min(MAX_HEAVY, max_words))
+        self.hashes = np.empty(max_words, np.uint64)
+        self.ones = np.empty((max_words, samples), np.float32)
+        self.heavy = np.empty(max_words, np.int64)    # row -> row of the parameters, or -1
+        self.params = np.empty((self.max_heavy, 3, samples), np.float32)
         self._clear()
 
     def _clear(self) -> None:
         self.rows: dict[str, int] = {}
-        self.hashes = np.zeros(0, np.uint64)
-        self.ones = np.zeros((0, self.samples), np.float32)
-        self.used = 0
-        self.heavy = np.zeros(0, np.int64)       # row -> row of the parameters, or -1
-        self.params = np.zeros((0, 3, self.samples), np.float32)
-        self.heavy_used = 0
+        self.used = self.heavy_used = 0
 
     def draw(self, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """r, ln c and beta, each (terms x samples)."""
@@ -88,10 +85,6 @@ class Sampler:
                                for w in some], np.uint64)
             r, c, beta = self.draw(hashes)
             need = self.used + len(some)
-            if need > len(self.hashes):
-                room = max(need, 2 * len(self.hashes), 1024)
-                self.hashes, self.ones = _grown(self.hashes, room), _grown(self.ones, room)
-                self.heavy = _grown(self.heavy, room)
             self.hashes[self.used:need] = hashes
             self.heavy[self.used:need] = -1
             self.ones[self.used:need] = c + r * beta - r
@@ -99,34 +92,61 @@ class Sampler:
             self.used = need
 
     def _heavy(self, rows: np.ndarray) -> np.ndarray:
+        """Parameters of at most BLOCK_TERMS rows."""
         new = rows[self.heavy[rows] < 0]
+        if self.heavy_used + len(new) > self.max_heavy:
+            self.heavy[:self.used], self.heavy_used, new = -1, 0, rows
         if len(new):
             need = self.heavy_used + len(new)
-            if need > len(self.params):
-                self.params = _grown(self.params, max(need, 2 * len(self.params), 1024))
             self.params[self.heavy_used:need] = np.stack(self.draw(self.hashes[new]), axis=1)
             self.heavy[new] = np.arange(self.heavy_used, need)
             self.heavy_used = need
         return self.params[self.heavy[rows]]
 
     def fingerprints(self, texts: list[str]) -> np.ndarray:
-        """(texts x samples) 16-bit numbers; a text without words has zeros."""
-        if self.used > self.max_words or self.heavy_used > MAX_HEAVY:
-            self._clear()
-        split = [t.lower().split() for t in texts]
-        self._add(list({w for words in split for w in words if w not in self.rows}))
+        """(texts x samples) 16-bit numbers; a text without words has zeros.  The new
+        words of as many texts as the store has room for are drawn together."""
         out = np.zeros((len(texts), self.samples), np.uint16)
-        look = self.rows.__getitem__
-        for i, words in enumerate(split):
+        group: list[tuple[int, list[str]]] = []
+        fresh: dict[str, None] = {}
+        for i, text in enumerate(texts):
+            words = text.lower().split()
+            new = [w for w in dict.fromkeys(words) if w not in self.rows and w not in fresh]
+            if self.used + len(fresh) + len(new) > self.max_words:
+                self._group(group, fresh, out)
+                self._clear()
+                group, fresh, new = [], {}, list(dict.fromkeys(words))
+            if len(new) > self.max_words:       # a text that fills the store by itself
+                out[i] = self._in_pieces(words, new)
+                continue
+            fresh.update(dict.fromkeys(new))
             if words:
-                rows = np.fromiter(map(look, words), np.int64, len(words))
-                out[i] = self._sample(*np.unique(rows, return_counts=True))
+                group.append((i, words))
+        self._group(group, fresh, out)
         return out
 
-    def _sample(self, rows: np.ndarray, weights: np.ndarray) -> np.ndarray:
-        best = np.full(self.samples, np.inf, np.float32)
-        term = np.zeros(self.samples, np.uint64)
-        level = np.zeros(self.samples, np.int64)
+    def _group(self, group: list, fresh: dict, out: np.ndarray) -> None:
+        self._add(list(fresh))
+        look = self.rows.__getitem__
+        for i, words in group:
+            rows = np.fromiter(map(look, words), np.int64, len(words))
+            out[i] = self._packed(self._fold(None, *np.unique(rows, return_counts=True)))
+
+    def _in_pieces(self, words: list[str], distinct: list[str]) -> np.ndarray:
+        counts, state = Counter(words), None
+        for at in range(0, len(distinct), self.max_words):
+            some = distinct[at:at + self.max_words]
+            self._clear()
+            self._add(some)
+            state = self._fold(state, np.arange(len(some)), np.array([counts[w] for w in some]))
+        self._clear()
+        return self._packed(state)
+
+    def _fold(self, state: tuple | None, rows: np.ndarray, weights: np.ndarray) -> tuple:
+        """The smallest values so far with their words' hashes and levels."""
+        best, term, level = state or (np.full(self.samples, np.inf, np.float32),
+                                      np.zeros(self.samples, np.uint64),
+                                      np.zeros(self.samples, np.int64))
         once, columns = rows[weights == 1], np.arange(self.samples)
         for i in range(0, len(once), BLOCK_TERMS):
             some = once[i:i + BLOCK_TERMS]
@@ -146,6 +166,10 @@ class Sampler:
             won = least < best
             best[won], term[won] = least[won], self.hashes[some[place]][won]
             level[won] = t[place, columns][won].astype(np.int64)
+        return best, term, level
+
+    def _packed(self, state: tuple) -> np.ndarray:
+        _, term, level = state
         mixed = _mix(term ^ ((level.view(np.uint64) + np.uint64(1)) * GOLDEN))
         return (mixed >> np.uint64(48)).astype(np.uint16)
 
@@ -252,13 +276,14 @@ def edit_likeness(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     first, tie = F.col("doc_id").asc_nulls_first(), F.xxhash64("text")
     found = stage(rows.repartitionByRange(first, tie).sortWithinPartitions(first, tie, "text")
                   .mapInArrow(run, schema), "cws-ranges")
-    # One row per task from here on.
+    # One row per task from here on; the tasks are put in order without the texts.
     order = Window.orderBy("part")
-    heads = found.where("head IS NOT NULL").select(
-        F.col("part").alias("of"),
-        F.coalesce(F.lead("head").over(order), F.first("head").over(order)).alias("following"))
-    tails = (found.where("tail IS NOT NULL").join(heads, F.col("part") == F.col("of"))
-             .select("doc_id", "tail", "following"))
+    begun = found.where("head IS NOT NULL")
+    after = begun.select("part").select("part", F.coalesce(
+        F.lead("part").over(order), F.first("part").over(order)).alias("next"))
+    tails = (found.where("tail IS NOT NULL").select("part", "doc_id", "tail").join(after, "part")
+             .join(begun.select(F.col("part").alias("next"), F.col("head").alias("following")),
+                   "next").select("doc_id", "tail", "following"))
     names = ["doc_id", *ROW.names]
     return found.where("tail IS NULL").select(*names).union(
         tails.mapInArrow(finish, T.StructType([schema["doc_id"], *ROW])).select(*names))

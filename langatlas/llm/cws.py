@@ -36,9 +36,9 @@ from langatlas.llm.common import stage, text_slices
 SAMPLES = 64
 SEED = 42
 #: Words of which a worker keeps the rows of weight 1 (4 bytes a sample each).
-MAX_WORDS = 120_000
+MAX_WORDS = 300_000
 #: Words that are somewhere more than once, of which it keeps r, ln c and beta.
-MAX_HEAVY = 24_000
+MAX_HEAVY = 60_000
 #: Distinct terms of a text whose rows are looked at together.
 BLOCK_TERMS = 8192
 

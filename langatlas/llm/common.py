@@ -9,6 +9,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 
 from langatlas.session import scratch_path
+from langatlas.sinks.files import Files
 
 # Text that a Python task turns into Python objects at a time.
 SLICE_BYTES = 2 << 20
@@ -22,13 +23,15 @@ def stage(df: DataFrame, name: str) -> DataFrame:
     """
     path = scratch_path(df.sparkSession, name)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    staged = df.sparkSession.read.schema(df.schema).parquet(path)
+    staged.stage_path = path
+    return staged
 
 
-def free_shuffles(spark: SparkSession) -> None:
-    """Let Spark drop the shuffle files of what is staged already; it does so only
-    when the driver's JVM collects its garbage."""
-    spark.sparkContext._jvm.System.gc()
+def drop_stages(*staged: DataFrame) -> None:
+    """Remove what ``stage`` wrote, once everything read from it is staged itself."""
+    for df in staged:
+        Files(df.sparkSession).remove(df.stage_path)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str, *cols: str) -> DataFrame:

@@ -6,6 +6,9 @@ too.  Model parameters are tables, a row per dimension with a column per
 cluster; a round is one join with them, one sum per point (its entries lie
 together) and one aggregate per dimension.
 
+The points are stored in buckets by id once, as many as their entries ask for, so a
+round shuffles its sums by dimension and never the points.
+
 All sums are of whole numbers: k-means centres are kept in thousandths and the
 mixture's responsibilities in ten-thousandths.  So a result does not depend on
 the partitioning or on the order of the rows, to the last bit, and the same
@@ -15,6 +18,7 @@ steps in another engine give the same clusters.
 from __future__ import annotations
 
 import math
+import uuid
 from dataclasses import dataclass
 
 from pyspark.ml.functions import vector_to_array
@@ -37,6 +41,8 @@ MARK = -1
 #: A centre's unit is 1/CENTRE_UNIT, a responsibility's 1/SHARE_UNIT.
 CENTRE_UNIT = 1000
 SHARE_UNIT = 10_000
+#: Entries of points to a bucket, and so to a task of a round.
+BUCKET_ENTRIES = 500_000
 
 
 class Work:
@@ -44,6 +50,7 @@ class Work:
 
     def __init__(self, spark: SparkSession) -> None:
         self.spark, self.path, self.tables = spark, scratch_path(spark, "fit"), 0
+        self.bucketed: list[str] = []
 
     def keep(self, df: DataFrame) -> DataFrame:
         return self.observed(df)[0]
@@ -55,7 +62,23 @@ class Work:
         (df.observe(seen, *sums) if sums else df).write.parquet(path)
         return self.spark.read.schema(df.schema).parquet(path), seen.get if sums else {}
 
+    def by_id(self, points: DataFrame) -> DataFrame:
+        """The points in buckets by id, which joins with small tables, windows and
+        sums by id read without a shuffle."""
+        points, seen = self.observed(points, F.count(F.lit(1)).alias("n"))
+        buckets = max(self.spark.sparkContext.defaultParallelism,
+                      math.ceil(seen["n"] / BUCKET_ENTRIES))
+        self.tables += 1
+        name = f"points_{uuid.uuid4().hex}"
+        (points.repartition(buckets, "id").write.bucketBy(buckets, "id").sortBy("id")
+         .option("path", f"{self.path}/{self.tables}").saveAsTable(name, format="parquet"))
+        self.bucketed.append(name)
+        return self.spark.table(name)
+
     def clear(self) -> None:
+        for name in self.bucketed:
+            self.spark.sql(f"DROP TABLE IF EXISTS {name}")
+        self.bucketed.clear()
         Files(self.spark).remove(self.path)
 
 
@@ -353,7 +376,7 @@ def find_clusters(points: DataFrame, k: int = K, max_iter: int = KMEANS_ITERATIO
     work = work or Work(spark)
     id_type = points.schema["id"].dataType
     # By id: a point's entries are summed where they are read.
-    points = work.keep(points.repartition("id"))
+    points = work.by_id(points)
     found = fit_kmeans(points, work, k, max_iter)
     if found is None:
         return Clusters(

@@ -163,3 +163,23 @@ def test_queries_share_one_fit_and_have_no_python(spark, monkeypatch):
         plan = qs[name](spark, SF)._jdf.queryExecution().toString()
         assert "Python" not in plan and "ArrowEval" not in plan
     assert "Python" not in qs["cluster_vectors"](spark, SF)._jdf.queryExecution().toString()
+
+
+def test_rounds_leave_the_points_where_they_are(spark):
+    """Sums over a point's entries read its bucket: no round shuffles points by id."""
+    class Seen(CL.Work):
+        plans = []
+
+        def observed(self, df, *sums):
+            self.plans.append(df._jdf.queryExecution().executedPlan().toString())
+            return super().observed(df, *sums)
+
+    rows = spark.range(40).selectExpr("id", "array(id % 2 * 9D, id * 1D) AS v")
+    work = Seen(spark)
+    found = CL.find_clusters(CL.dense_points(rows, "id", "v", 1), k=2, work=work)
+    assert found.assigned.count() == 40
+    rounds = [p for p in work.plans if "Window" in p]
+    assert rounds and not any("hashpartitioning(id#" in p for p in rounds)
+    names = list(work.bucketed)
+    work.clear()
+    assert names and not any(spark.catalog.tableExists(n) for n in names)

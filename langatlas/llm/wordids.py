@@ -2,7 +2,9 @@
 
 A byte-level BPE splits a text by a fixed pattern before it merges, and a blank
 followed by anything but white space always starts a new piece.  So a text can
-be cut before such blanks and its ids are the ids of the cuts in order.  The
+be cut before such blanks and its ids are the ids of the cuts in order.  Where the
+pattern makes a piece of a lone line feed, a cut of several lines is put together
+from theirs.  The
 cuts are looked up in a bounded store of words that a Python worker has already
 seen; only a new word goes through the library's model.  The ids are those of
 encoding the whole text at once (tests compare them).
@@ -20,10 +22,12 @@ import numpy as np
 from tokenizers import Regex, Tokenizer, decoders, models, pre_tokenizers
 
 #: Words (and ids) a worker keeps; beyond it the store starts anew.
-MAX_WORDS = 350_000
+MAX_WORDS = 500_000
 MAX_STORED_IDS = 4_000_000
 
 CUT = re.compile(r" (?=\S)")
+#: A line feed with no other white space beside it.
+LINE = re.compile(r"(?<=\S)\n(?=\S)")
 MARKS = frozenset(".,;:!?")
 
 
@@ -44,18 +48,35 @@ def to_chars(data: bytes) -> str:
     return data.decode("latin-1").translate(TO_CHARS)
 
 
+class _Uncut(Exception):
+    """A blank of the text is no place to cut it."""
+
+
 class _Words(dict):
     """word -> row of the encoder's store; a new word is encoded on first sight."""
 
     def __init__(self, encoder: "WordEncoder", prefix: str) -> None:
         super().__init__()
-        self.encoder, self.prefix = encoder, prefix
+        self.encoder, self.prefix, self.lead = encoder, prefix, to_chars(prefix.encode())
+        self.plain = encoder.fallback is None
 
     def __missing__(self, word: str) -> int:
         enc = self.encoder
-        if word[-1:] in MARKS and word[:-1].isalpha():
-            row = self[word[:-1]]
-            ids = enc.ids[enc.bounds[row]:enc.bounds[row + 1]] + enc.marks[word[-1]]
+        if word.isalpha():
+            # Letters alone are one piece; ASCII letters stand for themselves.
+            if self.plain and word.isascii():
+                ids = [t.id for t in enc.model.tokenize(self.lead + word)]
+            else:
+                ids = enc.encode_cut(self.prefix, word)
+        elif self.prefix and (not word or word[0].isspace()):
+            raise _Uncut
+        elif word[-1:] in MARKS and word[:-1].isalpha():
+            ids = enc.held(self[word[:-1]]) + enc.marks[word[-1]]
+        elif enc.feed is not None and len(lines := LINE.split(word)) > 1:
+            ids = enc.held(self[lines[0]])
+            for line in lines[1:]:
+                ids += enc.feed
+                ids += enc.held(enc.first[line])
         else:
             ids = enc.encode_cut(self.prefix, word)
         enc.ids.extend(ids)
@@ -72,12 +93,19 @@ class WordEncoder:
         self.model, self.pre = tokenizer.model, tokenizer.pre_tokenizer
         self.fallback, self.max_words = fallback, max_words
         self.marks = {m: array("I", self.piece(m)) for m in MARKS}
+        # Ids of a lone line feed, if the pattern makes a piece of it.
+        pieces = [chars for chars, _ in self.pre.pre_tokenize_str("a.\nb\n.")]
+        feed = to_chars(b"\n")
+        self.feed = array("I", self.piece("\n")) if pieces == ["a", ".", feed, "b", feed, "."] else None
         self._clear()
 
     def _clear(self) -> None:
         self.ids, self.bounds = array("I"), array("q", [0])
         self.first, self.rest = _Words(self, ""), _Words(self, " ")
 
+    def held(self, row: int) -> array:
+        return self.ids[self.bounds[row]:self.bounds[row + 1]]
+
     def add(self, ids: list[int]) -> int:
         self.ids.extend(ids)
         self.bounds.append(len(self.ids))
@@ -99,6 +127,11 @@ class WordEncoder:
         return [i for chars, _ in self.pre.pre_tokenize_str(prefix + word)
                 for i in self._mapped(chars)]
 
+    def _look_up(self, cuts: list[str], rows: array) -> None:
+        if cuts[0]:
+            rows.append(self.first[cuts[0]])
+        rows.extend(map(self.rest.__getitem__, cuts[1:]))
+
     def encode(self, texts: list[str | None], end: int | None = None) -> tuple[np.ndarray, np.ndarray]:
         """``ids`` (uint32, all texts one after the other) and ``bounds`` (where
         each text starts, and the end); ``end`` follows each text's ids."""
@@ -106,14 +139,14 @@ class WordEncoder:
             self._clear()
         ending = [] if end is None else [self.add([end])]
         rows, counts = array("q"), []
-        look = self.rest.__getitem__
         for text in texts:
             before = len(rows)
             if text:
-                cuts = CUT.split(text)
-                if cuts[0]:
-                    rows.append(self.first[cuts[0]])
-                rows.extend(map(look, cuts[1:]))
+                try:                         # most texts have cuts at all their blanks
+                    self._look_up(CUT.split(text) if "  " in text else text.split(" "), rows)
+                except _Uncut:
+                    del rows[before:]
+                    self._look_up(CUT.split(text), rows)
             rows.extend(ending)
             counts.append(len(rows) - before)
         at = np.frombuffer(rows, np.int64) if rows else np.zeros(0, np.int64)

@@ -57,6 +57,19 @@ def test_a_full_store_starts_anew(plain):
             assert small.encode([text])[0].tolist() == plain(text)
 
 
+def test_lines_are_put_together_from_known_words(plain, monkeypatch):
+    encoder = WordEncoder(Tokenizer.from_file(JSON))
+    encoder.encode(["Then one, two.", "one"])
+    asked = []
+    whole = encoder.encode_cut
+    monkeypatch.setattr(encoder, "encode_cut", lambda *a: asked.append(a) or whole(*a))
+    texts = ["a one.\nThen two\none", "one\n" * 3000 + "two", " one  two \n one \x1c two ", "one \u2003two"]
+    ids, bounds = encoder.encode(texts)
+    for text, a, b in zip(texts, bounds, bounds[1:]):
+        assert ids[a:b].tolist() == plain(text)
+    assert not [word for _, word in asked if "\n" in word.strip()]
+
+
 def test_rank_encoder_gives_tiktoken_ids(tik):
     texts = odd_texts() + [t for _, t in documents()]
     ids, bounds = rank_encoder(RANKS, P.PATTERN).encode(texts)

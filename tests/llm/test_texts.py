@@ -7,10 +7,13 @@ from collections import Counter
 import numpy as np
 import pytest
 import xxhash
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from langatlas.llm import cws, linededup, search, toxicity
+from langatlas.llm.common import CLEAN_UP, stage
 from langatlas.llm.queries import oracle_sql, queries
+from langatlas.session import shared_dir
 from tests.llm.helpers import SF, documents, edge_rows, frame, words
 
 
@@ -199,6 +202,33 @@ def test_lines(spark, rows, meet):
     assert linededup.dedup_lines(docs).columns == docs.columns
 
 
+def test_stages_go_once_read(spark):
+    import glob
+    folder = f"{shared_dir(spark)}/stages/"
+    before = set(glob.glob(folder + "*"))
+    setting = spark.conf.get(CLEAN_UP)
+    assert linededup.dedup_lines(frame(spark, template_rows()[:20])).count() == 20
+    left = {x[len(folder):].rsplit("-", 1)[0] for x in set(glob.glob(folder + "*")) - before}
+    assert not left & {"lines", "line-keys", "line-rows", "line-shared", "line-met", "line-wanted", "line-pairs",
+                       "line-texts", "line-rooted", "line-open", "cc-least", "cc-large", "cc-small"}
+    assert spark.conf.get(CLEAN_UP) == setting
+
+
+def test_a_stage_takes_its_shuffle_files_along(spark):
+    def written():
+        return spark.sparkContext._jsc.sc().env().blockManager().diskBlockManager().getAllFiles().length()
+
+    import time
+    docs = spark.range(0, 5000, 1, 4).groupBy((F.col("id") % 999).alias("k")).count()
+    before = written()
+    stage(docs, "shuffled")
+    for _ in range(50):                              # they go soon after, not at once
+        if written() <= before:
+            return
+        time.sleep(0.1)
+    raise AssertionError("shuffle files are left")
+
+
 def test_copies_of_a_template_go(spark):
     got = linededup.dedup_lines(frame(spark, template_rows())).collect()
     assert all(r["text"] == "" for r in got if r["doc_id"] >= 1000)

@@ -210,7 +210,7 @@ def test_stages_go_once_read(spark):
     assert linededup.dedup_lines(frame(spark, template_rows()[:20])).count() == 20
     left = {x[len(folder):].rsplit("-", 1)[0] for x in set(glob.glob(folder + "*")) - before}
     assert not left & {"lines", "line-keys", "line-rows", "line-shared", "line-met", "line-wanted", "line-pairs",
-                       "line-texts", "line-rooted", "line-open", "cc-least", "cc-large", "cc-small"}
+                       "line-texts", "line-rooted", "line-open", "line-held", "cc-least", "cc-large", "cc-small"}
     assert spark.conf.get(CLEAN_UP) == setting
 
 

@@ -2,9 +2,11 @@
 
 import hashlib
 import math
+import random
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
 from pyspark.sql import functions as F
@@ -457,3 +459,51 @@ def test_pipeline_stages(spark):
 def test_pipeline_runs(spark):
     out = corpus_pipeline.run(spark, SF)
     assert out.count() > 0 and "sequence_id" in out.columns
+
+
+def test_many_pairs_at_once_keep_what_their_distance_keeps(monkeypatch):
+    rnd = random.Random(7)
+    one, other, most = [], [], []
+    for i in range(600):
+        signs = ("ab", "abcdefgh \u00e9\U0001F600", [chr(300 + j) for j in range(400)])[i % 3]
+        x = [rnd.choice(signs) for _ in range(rnd.choice([0, 1, 5, 40, 90]))]
+        y = list(x)
+        for _ in range(rnd.randrange(len(x) // 2 + 2)):
+            at = rnd.randrange(len(y) + 1)
+            y[at:at + rnd.randrange(2)] = rnd.choice(signs) * rnd.randrange(2)
+        one.append("".join(x))
+        other.append("".join(y))
+        most.append(rnd.choice([0, 1, max(len(x), len(y)) // 5, 300 if i % 50 == 0 else 4]))
+    want = [levenshtein(x, y) <= m for x, y, m in zip(one, other, most)]
+    for pairs, look in ((2048, 32), (7, 1)):
+        monkeypatch.setattr(linededup, "BAND_PAIRS", pairs)
+        monkeypatch.setattr(linededup, "BAND_LOOK", look)
+        found = linededup.within(pa.array(one), pa.array(other), np.array(most))
+        assert found.tolist() == want
+    assert 100 < sum(want) < 500
+
+
+def test_character_counts_bound_the_edits():
+    rnd = random.Random(3)
+    for _ in range(200):
+        x = "".join(rnd.choice("abcdq1. \u00e9\u20ac\U0001F600") for _ in range(rnd.randrange(60)))
+        y = "".join(rnd.choice("abcdq1. \u00e9\u20ac\U0001F600") for _ in range(rnd.randrange(60)))
+        a, b = linededup.character_counts([x.encode(), y.encode()]).astype(int)
+        assert a.sum() == len(x) and b.sum() == len(y)
+        assert max(np.maximum(a - b, 0).sum(), np.maximum(b - a, 0).sum()) <= levenshtein(x, y)
+
+
+def test_texts_are_shuffled_for_a_part_of_the_pairs_at_a_time(spark, monkeypatch):
+    staged = []
+    whole = linededup.stage
+
+    def counted(df, name, *rest):
+        staged.append(name)
+        return whole(df, name, *rest)
+
+    monkeypatch.setattr(linededup, "stage", counted)
+    rows = [(i, f"this line number {chr(97 + i)} is much like all of the others") for i in range(9)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    kept = [r["text"] for r in linededup.dedup_lines(docs).collect()]
+    assert len([t for t in kept if t]) == 1
+    assert staged.count("line-same") == 2 * linededup.TEXT_PARTS

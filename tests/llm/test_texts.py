@@ -355,6 +355,42 @@ def test_search_of_empty_tables(spark):
     assert search.search(some, none).collect() == []
 
 
+@pytest.mark.parametrize("share, terms", [(1, 5), (10**6, 10**6), (10**6, 3)])
+def test_search_is_exact_whatever_is_a_matrix(spark, monkeypatch, share, terms):
+    monkeypatch.setattr(search, "DENSE_SHARE", share)
+    monkeypatch.setattr(search, "DENSE_TERMS", terms)
+    monkeypatch.setattr(search, "BLOCK_DOCS", 4)
+    monkeypatch.setattr(search, "QUERY_BATCH", 3)
+    rows = [(i, f"{words(i % 40, 12)} {'copy' if i % 3 else 'other'} the the") for i in range(120)]
+    asked = rows[::7]
+    want = brute_search(rows, asked, 4)
+    segments = search.build_index(frame(spark, rows), segment_docs=50)
+    hashes, n = search.TermHashes(), len(rows)
+    counted = [hashes.counted(t) for _, t in rows]
+    df = Counter(x for c in counted for x in c[0].tolist())
+    texts = [hashes.counted(t) for _, t in asked]
+    weights = [c * np.array([math.log(1 + (n - df[x] + .5) / (df[x] + .5)) for x in t.tolist()])
+               for t, c, _ in texts]
+    best = [(np.zeros(0, np.int64), np.zeros(0))] * len(asked)
+    for row in segments.collect():
+        search.Segment(row.asDict(), sum(c[2] for c in counted) / n).search(
+            np.cumsum([0] + [len(t[0]) for t in texts]), np.concatenate([t[0] for t in texts]),
+            np.concatenate(weights), best, 4)
+    for (q, _), (ids, scores) in zip(asked, best):
+        assert [(-round(s, 7), i) for i, s in zip(ids.tolist(), scores.tolist())] == want[q]
+
+
+def test_a_task_returns_the_best_of_all_its_segments(spark, monkeypatch):
+    paths = []
+    whole = search.scratch_path
+    monkeypatch.setattr(search, "scratch_path",
+                        lambda spark, name: paths.append(whole(spark, name)) or paths[-1])
+    rows = frame(spark, [(i, f"common words {i}") for i in range(60)]).coalesce(1)
+    got = search.search(rows, rows.where("doc_id < 4"), k=3, segment_docs=5)
+    assert got.count() == 4 * 3
+    assert spark.read.parquet(paths[-1]).count() == 4 * 3
+
+
 # --------------------------------------------------------------------- toxicity
 def plain_kernel(u, v):
     def features(w):

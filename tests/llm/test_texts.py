@@ -519,6 +519,20 @@ def test_many_pairs_at_once_keep_what_their_distance_keeps(monkeypatch):
     assert 100 < sum(want) < 500
 
 
+def test_pairs_that_are_put_off_are_decided_together(monkeypatch):
+    rnd = random.Random(5)
+    line = "".join(rnd.choice("abcdefgh ") for _ in range(120))
+    one, other = [line] * 60, ["".join(rnd.choice("abcdefgh ") for _ in range(120)) for _ in range(57)]
+    other += [line[:50] + "x" + line[50:], line[3:], line[:60] + line[60:].replace("a", "b")]
+    asked = []
+    whole = linededup._within_band
+    monkeypatch.setattr(linededup, "_within_band",
+                        lambda *args: asked.append(len(args[6])) or whole(*args))
+    found = linededup.within(pa.array(one), pa.array(other), np.array([24] * 60))
+    assert found.tolist() == [levenshtein(x, y) <= 24 for x, y in zip(one, other)]
+    assert asked == [60, 3] and found.sum() >= 2
+
+
 def test_character_counts_bound_the_edits():
     rnd = random.Random(3)
     for _ in range(200):

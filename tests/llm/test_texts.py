@@ -557,3 +557,48 @@ def test_texts_are_shuffled_for_a_part_of_the_pairs_at_a_time(spark, monkeypatch
     kept = [r["text"] for r in linededup.dedup_lines(docs).collect()]
     assert len([t for t in kept if t]) == 1
     assert staged.count("line-same") == 2 * linededup.TEXT_PARTS
+
+
+def test_lines_of_one_small_stock_of_syllables_seldom_meet():
+    rnd = random.Random(11)
+    stock = "the on an er re tion st th en in ou es ha ea and of ed nt ly sh ing ble wh".split()
+    vocabulary = ["".join(rnd.choice(stock) for _ in range(rnd.randint(1, 3))) for _ in range(3000)]
+    lines = [" ".join(rnd.choice(vocabulary) for _ in range(rnd.choice([15, 60]))).encode()
+             for _ in range(3000)]
+    _, keys = linededup.line_keys(lines)
+    pairs = sum(n * (n - 1) // 2 for n in Counter(keys.tolist()).values())
+    assert pairs < 300, pairs
+
+
+@pytest.mark.parametrize("rows", [1, 2, 1000])
+def test_meetings(spark, rows):
+    rnd = random.Random(rows)
+    posts = [(rnd.randrange(60), rnd.randrange(-9, 9)) for _ in range(90)] + [(99, n) for n in range(40)] * 2
+    before = spark.conf.get(search.ARROW_ROWS)
+    spark.conf.set(search.ARROW_ROWS, str(rows))
+    try:
+        got = linededup.meetings(spark.createDataFrame(posts, "key bigint, node bigint")).collect()
+    finally:
+        spark.conf.set(search.ARROW_ROWS, before)
+    nodes = {}
+    for key, node in posts:
+        nodes.setdefault(key, set()).add(node)
+    want = [(k, n, min(v), len(v) > 2) for k, v in nodes.items() for n in v if n != min(v)]
+    assert sorted(map(tuple, got)) == sorted(want)
+
+
+def test_pairs_that_match_at_once_are_near():
+    rnd, one, other, most = random.Random(2), [], [], []
+    for i in range(900):
+        signs = ("abcdefgh ij", "abé\U0001F600 ", "a")[i % 3]
+        x = [rnd.choice(signs) for _ in range(rnd.randint(0, 160))]
+        y = list(x)
+        for _ in range(rnd.randrange(6)):
+            at = rnd.randrange(len(y) + 1)
+            y[at:at + rnd.randrange(20)] = [rnd.choice(signs) for _ in range(rnd.randrange(20))]
+        one.append("".join(x))
+        other.append("".join(y))
+        most.append(rnd.choice([0, 3, max(len(x), len(y)) // 5]))
+    found = linededup.matched(pa.array(one), pa.array(other), np.array(most))
+    near = np.array([edits(x, y) <= m for x, y, m in zip(one, other, most)])
+    assert not (found & ~near).any() and (found & near).sum() > 0.6 * near.sum()

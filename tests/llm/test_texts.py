@@ -3,6 +3,7 @@
 import hashlib
 import math
 import random
+import string
 from collections import Counter
 
 import numpy as np
@@ -602,3 +603,23 @@ def test_pairs_that_match_at_once_are_near():
     found = linededup.matched(pa.array(one), pa.array(other), np.array(most))
     near = np.array([edits(x, y) <= m for x, y, m in zip(one, other, most)])
     assert not (found & ~near).any() and (found & near).sum() > 0.6 * near.sum()
+
+
+def test_a_segment_is_made_in_little_memory():
+    import tracemalloc
+    rnd = np.random.default_rng(4)
+    found = [np.unique(rnd.integers(0, 200_000, 300).astype(np.uint64)) for _ in range(4000)]
+    counted = [(terms, search.TermHashes().counted("a b a")[1][:1].repeat(len(terms))) for terms in found]
+    postings = sum(map(len, found))
+    tracemalloc.start()
+    search._segment(list(range(4000)), [300] * 4000, [c[0] for c in counted], [c[1] for c in counted])
+    most = tracemalloc.get_traced_memory()[1] / postings
+    tracemalloc.stop()
+    assert most < 40, most                           # bytes a posting
+
+
+def test_words_end_at_signs_and_any_white_space():
+    text = "A-b c\x1cd\x85e f\xa0G,h. Été! İx 漢字_y"
+    signs = str.maketrans(dict.fromkeys(string.punctuation, " "))
+    assert search.words_of(text) == text.lower().translate(signs).split()
+    assert search.words_of(None) == []
